@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,20 @@ class Files:
             os.replace(self.path(old), self.path(new))
         else:
             self.fs.move(self.path(old), self.path(new))
+
+
+def ranges(df: DataFrame, key: str, n: int, sample: int = 20_000) -> DataFrame:
+    """df dealt to n partitions by ranges of the integer column key, nulls first.  The bounds are quantiles of the keys
+    with the smallest hashes (a bounded sample, used for nothing else), so they don't depend on how df is laid out.
+    Adds the range's number as __part."""
+    hashed = F.xxhash64(F.col(key))
+    drawn = df.where(F.col(key).isNotNull()).select(key).orderBy(hashed, key).limit(min(sample, 64 * n)).collect()
+    keys = np.sort(np.array([r[0] for r in drawn], np.int64))
+    bounds = keys[[len(keys) * i // n for i in range(1, n)]] if len(keys) else keys
+
+    @F.pandas_udf("int")
+    def part(s: pd.Series) -> pd.Series:
+        null = s.isna()
+        return pd.Series(np.where(null, 0, np.searchsorted(bounds, s.fillna(0).astype(np.int64), side="right")).astype(np.int32))
+
+    return df.withColumn("__part", part(F.col(key).cast("long"))).repartitionById(n, F.col("__part"))

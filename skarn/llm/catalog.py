@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, simhash
+from . import base, lengths, simhash, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shards."""
+    return tokenids.token_ids(base.table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths (with the end id) and its suffix sums, over every document."""
+    return lengths.length_histogram(lengths.encoded_lengths(base.table(spark, sf_dir, "documents"), extra=1))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return toxicity.toxicity(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.near_duplicates(base.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_simhash": op9_simhash}
+    return {
+        "op3_token_ids": op3_token_ids,
+        "op5_token_counts": op5_token_counts,
+        "op8_toxicity": op8_toxicity,
+        "op9_simhash": op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

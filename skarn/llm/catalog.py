@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, lengths, simhash, tokenids, toxicity
+from . import base, decontam, lengths, mixing, secrets, simhash, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +16,30 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_ids(base.table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the query: less of the largest source, more of three small ones, the rest in proportion.
+WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.08, "src3": 0.06, mixing.REST: 0.56}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, replicated to WEIGHTS and shuffled: their columns, mix_copy, mix_key."""
+    return mixing.replicate(base.table(spark, sf_dir, "documents"), WEIGHTS)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of encoded lengths (with the end id) and its suffix sums, over every document."""
     return lengths.length_histogram(lengths.encoded_lengths(base.table(spark, sf_dir, "documents"), extra=1))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_windows, matched of every leak of a benchmark item into a document."""
+    return decontam.contaminated(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    return secrets.report(secrets.scan(base.table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     return toxicity.toxicity(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
@@ -34,11 +53,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_token_ids": op3_token_ids,
+        "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
+        "op6_decontamination": op6_decontamination,
+        "op7_secrets": op7_secrets,
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.sql(WEIGHTS), "op6_decontamination": decontam.sql()}

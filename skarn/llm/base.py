@@ -80,12 +80,12 @@ class Files:
             self.fs.move(self.path(old), self.path(new))
 
 
-def ranges(df: DataFrame, key: str, n: int, sample: int = 20_000) -> DataFrame:
+def ranges(df: DataFrame, key: str, n: int, sample: int = 20_000, of: DataFrame | None = None) -> DataFrame:
     """df dealt to n partitions by ranges of the integer column key, nulls first.  The bounds are quantiles of the keys
-    with the smallest hashes (a bounded sample, used for nothing else), so they don't depend on how df is laid out.
-    Adds the range's number as __part."""
+    with the smallest hashes (a bounded sample, used for nothing else), so they don't depend on how df is laid out;
+    they are drawn from `of`, if given.  Adds the range's number as __part."""
     hashed = F.xxhash64(F.col(key))
-    drawn = df.where(F.col(key).isNotNull()).select(key).orderBy(hashed, key).limit(min(sample, 64 * n)).collect()
+    drawn = (df if of is None else of).where(F.col(key).isNotNull()).select(key).orderBy(hashed, key).limit(min(sample, 64 * n)).collect()
     keys = np.sort(np.array([r[0] for r in drawn], np.int64))
     bounds = keys[[len(keys) * i // n for i in range(1, n)]] if len(keys) else keys
 

@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, decontam, lengths, mixing, secrets, simhash, tokenids, toxicity
+from . import base, chat, decontam, lengths, mixing, secrets, simhash, tiff, tokenids, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the archives."""
+    return warc.round_trip(base.table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading back the formatted conversations gives, for every one of them and conversation -1."""
+    turns = chat.with_probe(base.table(spark, sf_dir, "conversations"))
+    return chat.read_conversations(chat.format_conversations(turns))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shards."""
     return tokenids.token_ids(base.table(spark, sf_dir, "documents"))
@@ -50,8 +61,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(base.table(spark, sf_dir, "documents"))
 
 
+def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and a feature of every document's TIFF, from the stored bytes."""
+    return tiff.digests(tiff.text_images(base.table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc": op1_warc,
+        "op2_chat": op2_chat,
         "op3_token_ids": op3_token_ids,
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
@@ -59,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op7_secrets": op7_secrets,
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
+        "op10_tiff": op10_tiff,
     }
 
 

@@ -44,16 +44,14 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = tokens.VOCABULA
             rows.append((part, number, name, len(out.docs), int(sum(out.counts)), out.bytes))
 
         for b in batches:
-            ids, texts, parts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for first, some in tokens.groups(texts):
-                for i, found in enumerate(encode(some), first):
-                    if out is not None and (parts[i] != part or out.bytes >= roll_bytes):
-                        finish()
-                        out, number = None, number + 1 if parts[i] == part else 0
-                    if out is None:
-                        part, held = parts[i], f".{uuid.uuid4().hex}.tmp"
-                        out = simple8b.Writer(files.create(held))
-                    out.add(ids[i], np.concatenate((found, last)))
+            for i, found, here in zip(b.column(0).to_pylist(), encode(b.column(1)), b.column(2).to_pylist()):
+                if out is not None and (here != part or out.bytes >= roll_bytes):
+                    finish()
+                    out, number = None, number + 1 if here == part else 0
+                if out is None:
+                    part, held = here, f".{uuid.uuid4().hex}.tmp"
+                    out = simple8b.Writer(files.create(held))
+                out.add(i, np.concatenate((found, last)))
         if out is not None:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "number", "name", "documents", "ids", "bytes"])

@@ -151,6 +151,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _longs(numbers: list[int]):
+    return F.expr("cast(split('" + ",".join(str(_signed(v)) for v in numbers) + "', ',') as array<bigint>)")
+
+
+def _probes(own, every, lowest):
+    """The keys beside its own that a fingerprint probes; lowest has the lowest bit of each flip."""
+    return F.transform(F.filter(every, lambda v, i: F.col("fp").bitwiseAND(F.get(lowest, i)) == 0), lambda v: own.bitwiseXOR(v))
+
+
+def _of_part(i: int):
+    return lambda key: F.struct(F.lit(i).alias("part"), key.alias("key"))
+
+
 def signatures(fps: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
     """(part, key, fp): each fingerprint in its own bucket of each part and in those that it probes.  Of two that
     differ by a flip, only that with a 0 at the flip's lowest bit probes, so a pair meets once."""
@@ -159,10 +172,9 @@ def signatures(fps: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
         own = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         keys = F.array(own)
         if t > 0:
-            every = F.expr("cast(split('" + ",".join(str(_signed(v)) for v in flips(mask, t)) + "', ',') as array<bigint>)")
-            probes = F.filter(every, lambda v: F.col("fp").bitwiseAND(v.bitwiseAND(-v)) == 0)
-            keys = F.concat(keys, F.transform(probes, lambda v: own.bitwiseXOR(v)))
-        each.append(F.transform(keys, lambda key, i=i: F.struct(F.lit(i).alias("part"), key.alias("key"))))
+            every = flips(mask, t)
+            keys = F.concat(keys, _probes(own, _longs(every), _longs([v & -v for v in every])))
+        each.append(F.transform(keys, _of_part(i)))
     return fps.select("fp", F.explode(F.concat(*each)).alias("s")).select("s.part", "s.key", "fp")
 
 

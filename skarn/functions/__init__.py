@@ -252,6 +252,20 @@ def json_pointer(doc: Column | str, ptr: str | Column) -> Column:
     return _apply("string", lambda t: f(t, ptr), doc)
 
 
+def try_json_pointer(doc: Column | str, ptr: str | Column) -> Column:
+    """struct(value, error) of a JSON Pointer: one that can't index an array, or a malformed document, is an error there."""
+
+    def f(t: str, p: str) -> dict:
+        try:
+            x = pointer.resolve(parse(t), p)
+        except JsonError as e:
+            return {"value": None, "error": _error(e)}
+        return {"value": None if x is pointer.MISSING else values.compact(x), "error": None}
+
+    kind = "struct<value:string,error:struct<kind:string,detail:string,pos:int>>"
+    return _apply(kind, f, doc, ptr) if isinstance(ptr, Column) else _apply(kind, lambda t: f(t, ptr), doc)
+
+
 def npath_to_pointer(npath: Column | str) -> Column:
     """The JSON Pointer of a normalized path; null if it is not one."""
     return _apply("string", pointer.from_npath, npath)

@@ -47,6 +47,17 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+#: Bytes of a batch that passes between the JVM and Python; by rows alone it would grow with the length of the texts.
+BATCH_BYTES = "4m"
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, its session set to pass at most about BATCH_BYTES (or one row) at once to and from Python."""
+    for key in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
+        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", BATCH_BYTES)
+    return df
+
+
 class Files:
     """Files under one URI, for Python tasks: the local file system directly, others through pyarrow.fs."""
 
@@ -80,13 +91,22 @@ class Files:
             self.fs.move(self.path(old), self.path(new))
 
 
+def drawn(df: DataFrame, key: str, k: int) -> DataFrame:
+    """Distinct values of a column, those with the smallest hashes, at most k of them: a sample with a fixed bound that
+    depends on the values alone.  All but about 2 * k are left out where they are read, so that nothing large is sorted
+    in one place; nulls are never drawn."""
+    known = df.where(df[key].isNotNull()).select(key)
+    n, h = known.count(), F.xxhash64(key)
+    if n > 2 * k:
+        known = known.where(h < -(1 << 63) + int((1 << 64) * (2 * k / n)))
+    return known.distinct().orderBy(F.xxhash64(key), key).limit(k)
+
+
 def ranges(df: DataFrame, key: str, n: int, sample: int = 20_000, of: DataFrame | None = None) -> DataFrame:
-    """df dealt to n partitions by ranges of the integer column key, nulls first.  The bounds are quantiles of the keys
-    with the smallest hashes (a bounded sample, used for nothing else), so they don't depend on how df is laid out;
-    they are drawn from `of`, if given.  Adds the range's number as __part."""
-    hashed = F.xxhash64(F.col(key))
-    drawn = (df if of is None else of).where(F.col(key).isNotNull()).select(key).orderBy(hashed, key).limit(min(sample, 64 * n)).collect()
-    keys = np.sort(np.array([r[0] for r in drawn], np.int64))
+    """df dealt to n partitions by ranges of the integer column key, nulls first.  The bounds are quantiles of a bounded
+    sample of the keys (used for nothing else), so they don't depend on how df is laid out; they are drawn from `of`, if
+    given.  Adds the range's number as __part."""
+    keys = np.sort(np.array([r[0] for r in drawn(df if of is None else of, key, min(sample, 64 * n)).collect()], np.int64))
     bounds = keys[[len(keys) * i // n for i in range(1, n)]] if len(keys) else keys
 
     @F.pandas_udf("int")

@@ -499,7 +499,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, part_chars:
         if rows:
             yield batch()
 
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, schema)
+    return base.batched(dealt.select("conv_id", "role", "text")).mapInArrow(run, schema)
 
 
 _MARK = re.compile(r"<\|im_start\|>|<\|im_end\|>")
@@ -567,7 +567,7 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         if rows:
             yield batch()
 
-    return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, schema)
+    return base.batched(formatted.select("conv_id", "formatted", "spans")).mapInArrow(run, schema)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
@@ -577,3 +577,27 @@ def with_probe(turns: DataFrame) -> DataFrame:
     rows = turns.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     names = ["conv_id", "turn", "role", "text"]
     return turns.select(names).unionByName(rows.select(*(F.col(c).cast(kinds[c]).alias(c) for c in names)))
+
+
+def sql() -> str:
+    """What reading back the formatted conversations and the probe gives, for DuckDB."""
+    controls = "[" + ", ".join(f"'{c}'" for c in CONTROLS) + "]"
+    said = "</s>[INST] ok [/INST]"
+
+    def added(of: str) -> str:
+        """Characters that the escape adds to a text."""
+        begins = f"len(list_filter({controls}, lambda c: starts_with(substr({of}, i), c) OR starts_with(c, substr({of}, i)))) > 0"
+        breaks = f"len(list_filter(range(1, length({of}) + 1), lambda i: substr({of}, i, 1) IN ('<', '[') AND {begins}))"
+        return f"(length({of}) - length(replace({of}, '{ESCAPE}', '')) + CASE WHEN regexp_matches({of}, '[<\\[]') THEN 2 * {breaks} ELSE 0 END)"
+
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}')),
+c AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum({len("<|im_start|>") + len("<|im_end|>") + 2} + length(role) + length(text) + {added("role")} + {added("text")}
+      + length(role) - length(replace(role, chr(10), ''))) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM c"""

@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE, keep: tu
             fps = np.array([fingerprint(t.as_py(), k) for t in b.column(len(keep))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fps, pa.int64())], [*keep, "fp"])
 
-    return mine.mapInArrow(run, schema)
+    return base.batched(mine).mapInArrow(run, schema)
 
 
 # ---- parts and thresholds
@@ -300,7 +300,7 @@ def links(fps: DataFrame, parts: list[tuple[int, int]], d: int = DISTANCE, bucke
     free = {i: [b for b in range(BITS) if not mask >> b & 1] for i, (mask, _) in enumerate(parts)}
     while True:
         dealt = todo.repartition(base.shuffle_partitions(spark), "part", "key").sortWithinPartitions("part", "key", "fp")
-        here = base.written(dealt.mapInArrow(_scan(d, bucket_rows), _LINK), "links")
+        here = base.written(base.batched(dealt).mapInArrow(_scan(d, bucket_rows), _LINK), "links")
         these = here.where("part = -1").select("a", "b")
         found = these if found is None else found.unionByName(these)
         hot = here.where("part >= 0")
@@ -349,7 +349,7 @@ def components(fps: DataFrame, d: int = DISTANCE, sample: int = SAMPLE, bucket_r
     spark: SparkSession = fps.sparkSession
     distinct = base.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     n = distinct.count()
-    drawn = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
+    drawn = [r[0] for r in base.drawn(distinct, "fp", sample).collect()]
     parts = plan_parts(np.array(drawn, np.int64).view(np.uint64), n, d)
     found = roots(links(distinct.select("fp"), parts, d, bucket_rows))
     named = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

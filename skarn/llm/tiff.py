@@ -270,7 +270,7 @@ def pages(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
                     mine = [b.column(j).take(pa.array([i] * len(rows))) for j in range(len(keep))]
                     yield pa.RecordBatch.from_arrays([*mine, *(pa.array(c, t) for c, t in zip(zip(*rows), arrow))], schema.names)
 
-    return df.select(*keep, column).mapInArrow(run, schema)
+    return base.batched(df.select(*keep, column)).mapInArrow(run, schema)
 
 
 def text_payload(text: str, multiple: int = 64) -> bytes:
@@ -305,7 +305,7 @@ def text_images(docs: DataFrame, text: str = "text", compression: int = DEFLATE,
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(media)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
                     at, held, sizes, media = i + 1, 0, [], []
 
-    return docs.select("doc_id", base.text_of(docs, text).alias("text")).mapInArrow(run, schema)
+    return base.batched(docs.select("doc_id", base.text_of(docs, text).alias("text"))).mapInArrow(run, schema)
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -326,4 +326,4 @@ def digests(media: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64() if i in (0, 1, 3, 4) else pa.string()) for i, c in enumerate(cols))], schema.names)
 
-    return media.mapInArrow(run, schema)
+    return base.batched(media).mapInArrow(run, schema)

@@ -56,7 +56,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = tokens.VOCABULA
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "number", "name", "documents", "ids", "bytes"])
 
-    return base.written(dealt.select("doc_id", "text", "__part").mapInArrow(run, _MANIFEST), "manifest")
+    return base.written(base.batched(dealt.select("doc_id", "text", "__part")).mapInArrow(run, _MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -82,7 +82,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
         cols = list(zip(*rows)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return at.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return base.batched(at).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, end: int = tokens.END) -> DataFrame:

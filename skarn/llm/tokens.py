@@ -23,7 +23,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the id that ends a document.
 END = 2
 #: Pieces that a worker keeps, and the longest of them.
-_KEPT, _LONG = 1_000_000, 48
+_KEPT, _LONG = 500_000, 48
 _STOP = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?= )")
 _OTHER_STOP = "(^|[^A-Za-zÀ-ÖØ-öø-ÿ])[.,] "
 #: A special token of the vocabulary; it parts pieces that are encoded in one call.

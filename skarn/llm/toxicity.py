@@ -41,7 +41,7 @@ _WORD = re.compile(r"\w+")
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SHIFT, _HALF, _REST = np.uint64(64 - BITS), np.uint64(31), np.uint64(33)
 #: Words whose hashes a worker keeps.
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 200_000
 
 
 class _Hashes(dict):
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """(places, weights) of the sparse model; 2**20 + 1 numbers at most."""
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"]))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # bounds what is broadcast
+    drawn = known.join(base.drawn(known, "doc_id", max_labelled), "doc_id")  # max_labelled bounds what is broadcast
     l1 = L1 * math.sqrt(drawn.count())
     rows = docs.select("doc_id", base.text_of(docs).alias("text")).join(F.broadcast(drawn), "doc_id")
 
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()) for t in b.column(2)], pa.list_(pa.int32()))], ["doc_id", "label", "at"])
 
-    seen = rows.select("doc_id", "label", "text").mapInArrow(found, "doc_id long, label int, at array<int>")
+    seen = base.batched(rows.select("doc_id", "label", "text")).mapInArrow(found, "doc_id long, label int, at array<int>")
     seen = seen.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     seen = seen.withColumn("turn", F.xxhash64("epoch", "doc_id")).repartition(1).sortWithinPartitions("epoch", "turn", "doc_id")
 
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         for i in range(0, len(where), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(where[i : i + (1 << 16)]), pa.array(w[i : i + (1 << 16)])], ["at", "w"])
 
-    model = seen.select("at", "label").mapInArrow(learn, T.StructType([T.StructField("at", T.LongType()), T.StructField("w", T.DoubleType())])).collect()
+    model = base.batched(seen.select("at", "label")).mapInArrow(learn, T.StructType([T.StructField("at", T.LongType()), T.StructField("w", T.DoubleType())])).collect()
     return np.array([r[0] for r in model], np.int64), np.array([r[1] for r in model])
 
 
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
             s = np.array([one(t.as_py()) for t in b.column(len(names))], float)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "__score", "__predicted"])
 
-    return mine.mapInArrow(run, schema)
+    return base.batched(mine).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

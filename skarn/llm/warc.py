@@ -157,7 +157,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int =
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*made)) or [()] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "number", "name", "records", "bytes"])
 
     dealt = dealt.select("page_id", "url", "html", "sha", "first", "__part")
-    return base.written(dealt.mapInArrow(run, _MANIFEST), "manifest")
+    return base.written(base.batched(dealt).mapInArrow(run, _MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -194,7 +194,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             rows, held = [], 0
                 yield batch(rows)
 
-    return named.mapInArrow(run, schema)
+    return base.batched(named).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -202,3 +202,16 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     refers_to of each page."""
     folder = base.work_path(pages.sparkSession, "warc")
     return read(write(pages, folder, least_bytes), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def sql(least_bytes: int = 0) -> str:
+    """What round_trip returns, for DuckDB, over pages whose page_id is unique."""
+    digit = lambda shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {shift}) & 31) + 1, 1)"
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, CASE WHEN n >= {least_bytes} THEN min(page_id) OVER (PARTITION BY x) ELSE page_id END AS first FROM p),
+d AS (SELECT x, string_agg({" || ".join(digit(s) for s in (15, 10, 5, 0))}, '' ORDER BY g) AS digest
+  FROM (SELECT x, g, CAST('0x' || substr(x, 5 * g + 1, 5) AS INT) AS v FROM (SELECT DISTINCT x FROM p), range(0, 8) r(g)) GROUP BY x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f JOIN d ON f.x = d.x"""

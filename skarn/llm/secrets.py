@@ -5,8 +5,8 @@ Candidates beside them are runs of `CANDIDATE` characters or more that identifie
 Markov models of characters, of random strings and of ordinary identifiers, give each candidate the mean log-likelihood
 ratio of its steps; candidates above `RATIO` that touch no base span become spans of kind markov.
 
-The models are trained on labelled samples: random strings made from hashes (`RANDOM`, by three alphabets), and the
-words, and joined pairs of words, of at most `SAMPLE` documents, those with the smallest hash of doc_id.  What comes to
+The models are trained on labelled samples: random strings made from hashes (`RANDOM` of each of six alphabets), and the
+words, and pairs of words joined as identifiers are, of at most `SAMPLE` documents, those with the smallest hash of doc_id.  What comes to
 the driver is a count for each pair of characters, at most 68 * 68 numbers.
 
 Positions come from the lengths of matches and of the text between them, summed in blocks, so that a text with many
@@ -82,13 +82,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, random: int = RANDOM) -> list[f
     spark, n = docs.sparkSession, len(ALPHABET) + 1
     digest = F.sha2(F.concat(F.lit("random|"), F.col("id").cast("string")), 256)
     coded = F.base64(F.unhex(digest))
-    made = F.array(digest, coded, F.regexp_replace(coded, "[+/=]", ""), F.upper(F.regexp_replace(coded, "[+/=]", "")), F.translate(coded, "+/", "-_"))
+    made = F.array(digest, F.upper(digest), coded, F.regexp_replace(coded, "[+/=]", ""), F.upper(F.regexp_replace(coded, "[+/=]", "")), F.translate(coded, "+/", "-_"))
     randoms = spark.range(random).select(F.explode(made).alias("s"))
-    drawn = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounds the broadcast
-    texts = docs.join(F.broadcast(drawn.distinct()), "doc_id", "left_semi").select(base.text_of(docs).alias("t"))
+    drawn = base.drawn(docs, "doc_id", sample)  # sample bounds the broadcast
+    texts = docs.join(F.broadcast(drawn), "doc_id", "left_semi").select(base.text_of(docs).alias("t"))
     words = texts.select(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])"), F.lit(0)).alias("w"))
     joined = F.transform("w", lambda w, i: F.concat(w, F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit(""), F.lit("/")), (i % 4 + 1).cast("int")), F.when(i % 4 == 2, F.initcap(F.coalesce(F.get("w", i + 1), F.lit("")))).otherwise(F.coalesce(F.get("w", i + 1), F.lit("")))))
-    ordinary = words.select(F.explode(F.concat("w", joined)).alias("s"))
+    shouted = F.transform(F.filter(joined, lambda w, i: i % 8 == 0), lambda w: F.upper(w))
+    ordinary = words.select(F.explode(F.concat("w", joined, shouted)).alias("s"))
 
     def logs(counts: dict[tuple[int, int], int], weight: float) -> list[float]:
         out = []

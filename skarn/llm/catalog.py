@@ -82,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.sql(WEIGHTS), "op6_decontamination": decontam.sql()}
+    return {"op1_warc": warc.sql(), "op2_chat": chat.sql(), "op4_mixing": mixing.sql(WEIGHTS), "op6_decontamination": decontam.sql()}

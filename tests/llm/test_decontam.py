@@ -1,0 +1,76 @@
+"""Benchmark decontamination: planted items, parameters, odd rows; the main query is also held against SQL."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from skarn.llm import decontam
+
+ITEMS = [
+    (1, "A train leaves Paris at 9 and travels 300 km before it reaches Lyon. How long does the train need for the way at 100 km per hour?"),
+    (2, "Which of these four animals lays eggs and also feeds its young with milk, the platypus or the whale or the dog or the cat?"),
+    (3, "too short"),
+    (4, "seven small words make an item"),
+    (5, None),
+]
+
+
+def noise(n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]) + str(rng.randrange(99)) * (rng.random() < 0.2) for _ in range(n))
+
+
+def tables(spark, docs):
+    d = spark.createDataFrame([(i, t, 0, "x") for i, t in docs], "doc_id long, text string, item_id int, canon string")
+    return d, spark.createDataFrame(ITEMS, "item_id long, text string")
+
+
+DOCS = [
+    (0, noise(200, 0)),
+    (1, noise(50, 1) + " " + ITEMS[0][1] + " " + noise(50, 2)),
+    (2, noise(50, 3) + ". " + ITEMS[0][1].replace("Paris", "Rome").replace("Lyon", "Pisa").replace("300", "450").replace("100", "90").replace(" 9 ", " 7 ") + " " + noise(9, 4)),
+    (3, ITEMS[1][1].replace(" ", "\n")),
+    (4, " ".join(ITEMS[1][1].split()[:9])),
+    (5, "well, seven small words make an item."),
+    (6, None),
+    (7, ""),
+    (8, noise(30_000, 5) + " " + ITEMS[1][1]),
+    (None, ITEMS[1][1]),
+    (1, noise(50, 1) + " " + ITEMS[0][1] + " " + noise(50, 2)),
+    (9, "too short"),
+]
+
+
+def test_leaks(spark):
+    docs, items = tables(spark, DOCS)
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (5, 4), (8, 2), (None, 2)}
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 4, 6, 7, 9]
+    shuffled = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items, broadcast_rows=0).collect()}
+    assert shuffled == got
+
+
+def test_inconsistent_slots(spark):
+    """A template whose names stand for several things at once is no copy."""
+    item = "Anna gives Bert a book and then Anna asks Bert why Anna and Bert and Anna and Bert like books so much"
+    one = item.replace("Anna", "Carl").replace("Bert", "Dora")
+    names = iter(["Carl", "Dora", "Emil", "Fred", "Gina", "Hans", "Ines", "Jana", "Karl", "Lena"])
+    mixed = " ".join(next(names) if w in ("Anna", "Bert") else w for w in item.split())
+    docs = spark.createDataFrame([(1, "so " + one), (2, "so " + mixed)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "so " + item)], "item_id long, text string")
+    assert [r.doc_id for r in decontam.contaminated(docs, items).collect()] == [1]
+
+
+def test_canonical(spark):
+    text = "It costs 3.50 dollars.\nThe man from Oslo ran 5 km in NATO time: he did, 12,000 m m"
+    t = decontam._tokens(spark.createDataFrame([(text,)], "text string"), [], F.col("text"))
+    assert t.first().canon == ["@", "costs", "#", "%", "the", "man", "from", "@", "ran", "#", "%", "in", "@", "time", "he", "did", "#", "%", "m"]
+
+
+def test_empty_and_plan(spark):
+    docs, items = tables(spark, DOCS[:2])
+    assert decontam.contaminated(docs.limit(0), items).count() == 0
+    assert decontam.contaminated(docs, items.limit(0)).count() == 0 and decontam.drop_contaminated(docs, items.limit(0)).count() == 2
+    plan = decontam.contaminated(docs, items)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

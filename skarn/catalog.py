@@ -6,13 +6,15 @@ that end in _native run inside the JVM, _nodes over the node table, the others t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn import functions as J
-from skarn import operators, sources
+from skarn import operators, sources, streaming
 from skarn.plans import lowering
 from skarn.plans.nodes import NodeTable, shred
 
@@ -324,6 +326,113 @@ def sql_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT c_custkey, e.pos, e.path, e.value FROM skarn_customers, LATERAL json_each(doc, '$.orders[*].o_orderkey') e")
 
 
+@query("SELECT c_custkey, true AS object, false AS array, true AS name_string, true AS number, CAST(c_custkey AS BIGINT) AS as_long, CAST('string' AS VARCHAR) AS kind, false AS is_null, true AS missing FROM customer")
+def type_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = customers(spark, sf_dir).withColumn("key", J.json_get("doc", "c_custkey")).withColumn("name", J.json_get("doc", "c_name"))
+    return d.select(
+        "c_custkey",
+        J.json_is_object("doc").alias("object"),
+        J.json_is_array("doc").alias("array"),
+        J.json_is_string("name").alias("name_string"),
+        J.json_is_number("key").alias("number"),
+        J.json_number("key").cast("bigint").alias("as_long"),
+        J.json_type("name").alias("kind"),
+        J.json_is_null("name").alias("is_null"),
+        J.json_get("doc", "nobody").isNull().alias("missing"),
+    )
+
+
+@query("SELECT c_custkey, CAST(4 AS BIGINT) AS members, c_name AS second, CAST(count(o_orderkey) AS BIGINT) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object's members in order, an array's items."""
+    d = customers(spark, sf_dir).withColumn("e", J.json_object_entries("doc"))
+    return d.select("c_custkey", F.size("e").cast("bigint").alias("members"), J.json_str(F.get("e", F.lit(1))["value"]).alias("second"), F.size(J.json_array_items(F.get("e", F.lit(3))["value"])).cast("bigint").alias("items"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'UnexpectedToken' WHEN 1 THEN 'LeadingZeros' WHEN 2 THEN 'DuplicateName' ELSE 'UnexpectedEof' END AS kind, CAST(CASE o_orderkey % 4 WHEN 0 THEN length(CAST(o_orderkey AS VARCHAR)) + 6 WHEN 1 THEN 5 WHEN 2 THEN length(CAST(o_orderkey AS VARCHAR)) + 6 ELSE length(CAST(o_orderkey AS VARCHAR)) + 4 END AS INT) AS pos FROM orders")
+def error_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malformed documents, as bytes: what is wrong and where."""
+    key = F.col("o_orderkey").cast("string")
+    made = F.concat(F.lit('{"a":'), F.when(F.col("o_orderkey") % 4 == 1, "0").otherwise(""), key)
+    rest = F.when(F.col("o_orderkey") % 4 == 0, ",}").when(F.col("o_orderkey") % 4 == 2, ',"a":0}').when(F.col("o_orderkey") % 4 == 1, "}").otherwise("")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(made, rest).cast("binary").alias("doc"))
+    r = d.select("o_orderkey", J.try_json_parse("doc").alias("r"))
+    return r.select("o_orderkey", F.col("r.error.kind").alias("kind"), F.col("r.error.pos").alias("pos"))
+
+
+@query(f"SELECT c.c_custkey, CASE WHEN c.c_custkey % 2 = 0 THEN 'InvalidIndex' END AS kind, CAST(CASE WHEN c.c_custkey % 2 > 0 THEN coalesce(f.o, -1) ELSE -1 END AS BIGINT) AS first FROM customer c LEFT JOIN (SELECT c_custkey, min(o_orderkey) AS o {_JOIN} GROUP BY 1) f ON f.c_custkey = c.c_custkey")
+def pointer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ptr = F.when(F.col("c_custkey") % 2 == 0, "/orders/first/o_orderkey").otherwise("/orders/0/o_orderkey")
+    d = customers(spark, sf_dir).select("c_custkey", J.try_json_pointer("doc", ptr).alias("r"))
+    return d.select("c_custkey", F.col("r.error.kind").alias("kind"), F.coalesce(F.col("r.value").cast("bigint"), F.lit(-1)).alias("first"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49 AND l_discount < 0.02)")
+def filter_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter inside a filter."""
+    d = orders(spark, sf_dir).select("o_orderkey", J.json_select_values("doc", "$[?@[?@.q > 49 && @.disc < 0.02]]").alias("v"))
+    return d.where("size(v) > 0").select("o_orderkey")
+
+
+_both("fn_match_property", customers, "c_custkey", r"$.orders[?match(@.o_orderpriority, '\\p{Nd}[-]\\p{Lu}{3,6}')].o_orderkey", "bigint", "o_orderkey", f"SELECT c_custkey, o_orderkey {_JOIN} WHERE regexp_full_match(o_orderpriority, '\\p{{Nd}}-\\p{{Lu}}{{3,6}}')")
+
+_PAIRS = "SELECT c_custkey, {pos} AS pos, v FROM (SELECT c_custkey, r, n, 0 AS s, CAST(o_orderkey AS VARCHAR) AS v FROM " + _NUMBERED + " UNION ALL SELECT x.c_custkey, x.r, x.n, 1, '\"' || o_orderstatus || '\"' FROM " + _NUMBERED + " x JOIN orders o ON o.o_orderkey = x.o_orderkey)"
+
+
+def _pairs(semantics: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = customers(spark, sf_dir).select("c_custkey", F.posexplode(J.json_select_values("doc", "$..['o_orderkey','o_orderstatus']", semantics)).alias("pos", "v"))
+        return found.select("c_custkey", F.col("pos").cast("bigint").alias("pos"), "v")
+
+    return run
+
+
+query(_PAIRS.format(pos="2 * (r - 1) + s"), "path_descendant_pairs")(_pairs("standard"))
+query(_PAIRS.format(pos="s * n + r - 1"), "path_descendant_pairs_by_selector")(_pairs("reference"))
+
+
+@query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+def hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents grouped by hash, whatever the order of members."""
+    o = table(spark, sf_dir, "orders")
+    a = F.to_json(F.struct("o_orderstatus", F.lit(1).alias("x")))
+    b = F.to_json(F.struct(F.lit(1.0).alias("x"), "o_orderstatus"))
+    d = o.select("o_orderstatus", J.json_hash(F.when(F.col("o_orderkey") % 2 == 0, a).otherwise(b)).alias("h"))
+    return d.groupBy("h").agg(F.first("o_orderstatus").alias("o_orderstatus"), F.count("*").alias("n")).drop("h")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")
+def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to files of lines in the shared folder, and back."""
+    path = _folder(spark, "lines")
+    sources.write_json_lines(customers(spark, sf_dir), "doc", path, "gzip")
+    back = sources.json_lines(spark, path).where(J.json_valid("doc"))
+    return back.agg(F.count("*").alias("n"), F.sum(J.json_pointer("doc", "/c_custkey").cast("bigint")).alias("keys"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS digit, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows over the events as a stream, run to its end."""
+    at = _folder(spark, "stream")
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "props")
+    events.write.parquet(f"{at}/in")  # a stream reads a folder; the table may be one file
+    stream = streaming.valid_documents(streaming.table_stream(spark, f"{at}/in", events.schema), "props")
+    counts = streaming.windowed_counts(stream, "props", "$.k", "ts", "1 hour", "1 day", "bigint")
+    run = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out"))
+    run.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{at}/out").groupBy(F.col("window.start").cast("timestamp_ntz").alias("hour"), (F.col("value") % 10).alias("digit"))
+    return out.agg(F.sum("n").alias("n"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="skarn-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/skarn-{name}-{uuid.uuid4().hex}"
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -80,7 +80,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
     t = t.select("doc_id", "text_hash", "raw", F.transform("canon", lambda x: F.xxhash64(x)).alias("h"))
     found = None
     for n in lengths or [window]:
-        each = t.where(F.size("h") >= n).withColumn("place", F.explode(F.sequence(F.lit(1), F.size("h") - n + 1)))
+        # a filter on the size would be pushed below the tokens and make them all again
+        places = F.when(F.size("h") >= n, F.sequence(F.lit(1), F.size("h") - n + 1)).otherwise(F.array().cast("array<int>"))
+        each = t.withColumn("place", F.explode(places))
         each = each.withColumn("w", F.xxhash64(F.slice("h", F.col("place"), F.lit(n))))
         own = theirs.where(F.col("len") == n)
         hits = each.join(F.broadcast(own) if small else own, "w")

@@ -44,9 +44,9 @@ def test_wrong(text, kind, pos):
 
 
 NPATHS = [
-    ("$", ""), ("$['x'][3]['y z']", "/x/3/y z"), ("$['o\\'k']", "/o'k"), ("$['p~q/r']", "/p~0q~1r"), ("$['\\n']", "/\\n"), ("$['\\u001f']", "/\\u001f"), ("$['']", "/"),
-    ("$['x'", None), ("$[x]", None), ("$['x]", None), ("$[1", None), ("$['\\']", None), ("$['\\z']", None), ("$['\\u001F']", None), ("$['\\u0008']", None),
-    ("$['\\u0041']", None), ("$[01]", None), ("x", None), ("", None), ("$.x", None),
+    ("$", ""), ("$['x'][3]['y z']", "/x/3/y z"), ("$['o\\'k']", "/o'k"), ("$['~/'][0]['/~']", "/~0~1/0/~1~0"), ("$['tab\\t']", "/tab\\t"), ("$['\\u0001\\u001e']", "/\\u0001\\u001e"), ("$['']['']", "//"),
+    ("$['x'][", None), ("$[x]", None), ("$['x'] ", None), ("$[-1]", None), ("$['x\\']", None), ("$['\\v']", None), ("$['\\u000A']", None), ("$['\\u0009']", None),
+    ("$['\\u00e9']", None), ("$[01]", None), ("x", None), ("", None), ("$.x", None),
 ]
 
 

@@ -4,8 +4,8 @@ The size of each named source and of all others together (`REST`) gives its mean
 total size over own size, so that the expected mix has the weights and the old total size.  Each document draws its
 number of copies from a Poisson distribution with that mean, by inverting the distribution function at a uniform number
 made from a hash of seed and document; a mean above `CHUNK` is a sum of equal smaller ones with draws of their own.  The
-copies are exploded where the row is and sorted by a hash of seed, document and copy: a global shuffle that any run
-repeats.  The sizes are one small row for each name given, so a source with a third of all rows is no burden.
+copies are exploded where the row is and sorted, over all partitions, by a hash of seed, document and copy: a global
+shuffle that any run repeats.  The sizes are one small row for each name given, so a source with a third of all rows is no burden.
 
 Nulls and ties: a null source belongs to the others; a null text has size 0; a document is known by its id, or where
 that is null by its text, so repeated rows get equal counts.  A source of size 0 or of weight 0 yields nothing.  Equal
@@ -69,7 +69,8 @@ def replicate(docs: DataFrame, weights: dict[str, float], seed: str = "mix-1", t
 
         def drawn(i: Column, steps: Column = steps) -> Column:
             u = (_number(seed, key, i.cast("string")).cast("double") + 0.5) / float(1 << 60)
-            return F.size(F.filter(steps, lambda c: c <= u))
+            # as a lambda's variable the number is made once, not for every step
+            return F.get(F.transform(F.array(u), lambda x: F.size(F.filter(steps, lambda c: c <= x))), F.lit(0))
 
         count = drawn(F.lit(0)) if chunks == 1 else F.aggregate(F.sequence(F.lit(0), F.lit(chunks - 1)), F.lit(0), lambda a, i: a + drawn(i))
         here = F.col("source").isin([n for n in names if n != REST]) if group == REST else F.col("source") == group
@@ -79,7 +80,10 @@ def replicate(docs: DataFrame, weights: dict[str, float], seed: str = "mix-1", t
     counted = docs.withColumn("__n", counts).withColumn("__key", key).where("__n > 0")
     copies = counted.select(*kept, "__key", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
     copies = copies.withColumn("mix_key", _number(seed, F.lit("order"), F.col("__key"), F.col("mix_copy").cast("string")))
-    return copies.orderBy("mix_key", "__key", "mix_copy").drop("__key")
+    # the key is uniform, so the ranges of a global sort are known without a pass that samples them
+    n = base.shuffle_partitions(docs.sparkSession)
+    part = F.least(F.lit(n - 1), F.floor(F.col("mix_key").cast("double") / float(1 << 60) * n).cast("int"))
+    return copies.repartitionById(n, part).sortWithinPartitions("mix_key", "__key", "mix_copy").drop("__key")
 
 
 def sql(weights: dict[str, float], seed: str = "mix-1") -> str:

@@ -1,12 +1,14 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Fingerprints are 64 bits.  Their bits are grouped into parts, correlated bits together; part i gets a threshold t_i
-with sum(t_i + 1) = d + 1, so two fingerprints at distance d or less differ in at most t_i bits of at least one part.
-The number of parts and the thresholds come from a dynamic programme over estimated costs: rows of signatures and
-candidate pairs, the latter from a bounded sample of fingerprints.  A fingerprint meets its partners in buckets
-(part, bits of the part), its own and those within t_i; each bucket is verified by popcount and reduced to a spanning
-forest, so a group of n copies gives n - 1 links and never n * n.  Buckets above `bucket_rows` are dealt anew by the
-bits outside the part, which is exact, until they fit.  Components come from contraction rounds over the links.
+A fingerprint has one or more words of 64 bits.  Their bits are grouped into parts, correlated bits together; part i
+gets a threshold t_i with sum(t_i + 1) = reach + 1, so two fingerprints at distance `reach` or less differ in at most t_i
+bits of at least one part.  The number of parts and the thresholds come from a dynamic programme over estimated costs:
+rows of signatures and candidate pairs, the latter from a bounded sample of fingerprints.  A fingerprint meets its
+partners in buckets (part, bits of the part), its own and those within t_i; each bucket is verified by popcount at
+distance d and reduced to a spanning forest, so a group of n copies gives n - 1 links and never n * n.  With parts over
+all words and reach = d no link is lost; beyond that, links are found with a probability that many parts make high.
+Buckets above `bucket_rows` are dealt anew by the bits outside the part, which is exact, until they fit.  Components
+come from contraction rounds over the links.
 
 Nulls and ties: a null text counts as empty; texts without words have fingerprint zero; a null doc_id is a document
 of its group but never names it (component_id is null only where all ids of the group are null).  Repeated rows stay
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +33,21 @@ BITS = 64
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
+#: Of the deduplicating stage: shingles of five words, and 82 of 512 bits: texts whose shingles overlap by 0.8 differ in
+#: 78 on average, unrelated ones in 256.  Parts are laid over the first 256 bits, for a reach of 31 there.
+DEDUP_SHINGLE, DEDUP_WORDS, DEDUP_DISTANCE, DEDUP_PROBED, DEDUP_REACH = 5, 8, 82, 4, 31
 #: Fingerprints that the estimate of candidate counts reads, at most.
 SAMPLE = 2048
 #: Rows of a bucket that one task holds; 64 at least, so that larger buckets have bits left to be dealt by.
 BUCKET_ROWS = 50_000
-#: Microseconds of one signature row (made, shuffled, sorted) and of one candidate pair.
+#: Microseconds of one signature row (made, shuffled, sorted) and of one word of a candidate pair.
 ROW_COST, PAIR_COST = 2.0, 0.004
+#: Largest threshold of a part; its flips are listed in the plan.
+MOST = 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
+#: Multipliers of a 64-bit finaliser, from which further words are made.
+_MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def shingle_spans(text: str, k: int) -> tuple[bytes, list[int], list[int]]:
@@ -54,36 +63,56 @@ def shingle_spans(text: str, k: int) -> tuple[bytes, list[int], list[int]]:
     return joined, starts.tolist(), ends.tolist()
 
 
-def fingerprint(text: str, k: int = SHINGLE) -> int:
-    """Bit b is 1 if it is set in over half of the shingles' hashes; 0 without words."""
+def _word(h: np.ndarray, j: int) -> np.ndarray:
+    """The hashes as they count for word j: themselves, or mixed anew."""
+    if not j:
+        return h
+    h = h + np.uint64(j * int(_MIX[0]) & (1 << 64) - 1)
+    for m in _MIX:
+        h = (h ^ (h >> np.uint64(33))) * m
+    return h ^ (h >> np.uint64(33))
+
+
+def fingerprint(text: str, k: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """Bit b of a word is 1 if it is set in over half of the shingles' hashes; all 0 without words."""
     joined, starts, ends = shingle_spans(text, k)
-    if not starts:
-        return 0
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((words, BITS), np.int64)
     for i in range(0, len(starts), _CHUNK):
         h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK])], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+        for j in range(words):
+            bits = np.unpackbits(_word(h, j).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[j] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(starts), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and fp, the fingerprint as a signed long; one row per row."""
+def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE, words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and fp, the fingerprint's words as signed longs; one row per row."""
     mine = docs.select(*(docs[c] for c in keep), base.text_of(docs, text).alias("__text"))
-    schema = T.StructType([*(mine.schema[c] for c in keep), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(mine.schema[c] for c in keep), T.StructField("fp", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), k) for t in b.column(len(keep))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fps, pa.int64())], [*keep, "fp"])
+            found = [fingerprint(t.as_py(), k, words) for t in b.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), _column(np.array(found, np.uint64).reshape(-1, words))], [*keep, "fp"])
 
     return base.batched(mine).mapInArrow(run, schema)
 
 
+def _column(fps: np.ndarray) -> pa.Array:
+    """Rows of words as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * fps.shape[1]), pa.array(fps.reshape(-1).view(np.int64)))
+
+
+def _matrix(column: pa.Array, words: int) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, words)
+
+
 # ---- parts and thresholds
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
-    """m parts of nearly equal width; each grows from the strongest remaining pair by the bit most correlated with it."""
+    """m parts of one word, of nearly equal width; each grows from the strongest remaining pair by the bit most
+    correlated with it."""
     bits = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
     bits -= bits.mean(axis=0) if len(bits) else 0
     norm = np.sqrt((bits**2).sum(axis=0))
@@ -110,31 +139,31 @@ def mask_of(part: list[int]) -> int:
     return sum(1 << b for b in part)
 
 
-def plan_parts(sample: np.ndarray, n: int, d: int = DISTANCE) -> list[tuple[int, int]]:
-    """(mask, threshold) of each part that is probed: the cheapest allocation over all numbers of parts up to d + 1."""
-    best: tuple[float, list[tuple[int, int]]] = (math.inf, [])
-    xors = np.bitwise_xor.outer(sample, sample)[np.triu_indices(len(sample), 1)] if len(sample) > 1 else np.zeros(0, np.uint64)
-    for m in range(2, d + 2):
-        masks = [mask_of(p) for p in group_bits(sample, m)]
+def plan_parts(sample: np.ndarray, n: int, reach: int = DISTANCE, verified: int = 1) -> list[tuple[int, int, int]]:
+    """(word, mask, threshold) of each part that is probed, for n fingerprints: the cheapest allocation over all numbers
+    of parts up to reach + 1.  sample: rows of the words that have parts; verified: how many words a pair compares."""
+    words = sample.shape[1]
+    best: tuple[float, list[tuple[int, int, int]]] = (math.inf, [])
+    i, j = np.triu_indices(min(len(sample), 1024), 1)
+    xors = sample[i] ^ sample[j]
+    for each in range(1 if words > 1 else 2, (reach + 1) // words + 1):
+        masks = [(w, mask_of(p)) for w in range(words) for p in group_bits(sample[:, w], each)]
         cost = []
-        for mask in masks:
+        for w, mask in masks:
             width = mask.bit_count()
-            near = np.bincount(np.bitwise_count(xors & np.uint64(mask)), minlength=BITS + 1) if len(xors) else np.zeros(BITS + 1)
+            near = np.bincount(np.bitwise_count(xors[:, w] & np.uint64(mask)), minlength=BITS + 1)
             row = [0.0]
-            for t in range(d + 1):
-                if t > width:
-                    row.append(math.inf)
-                    continue
-                ball = sum(math.comb(width, j) for j in range(t + 1))
+            for t in range(min(MOST, width, reach) + 1):
+                ball = sum(math.comb(width, x) for x in range(t + 1))
                 p = max(near[: t + 1].sum() / max(1, len(xors)), ball / 2.0**width)
-                row.append(ROW_COST * n * (1 + (ball - 1) / 2) + PAIR_COST * p * n * n / 2)
+                row.append(ROW_COST * n * (1 + (ball - 1) / 2) + PAIR_COST * verified * p * n * n / 2)
             cost.append(row)
         # dp[u]: the cheapest way to give u units (threshold + 1 each) to the parts so far
-        dp: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] + [(math.inf, ())] * (d + 1)
+        dp: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] + [(math.inf, ())] * (reach + 1)
         for row in cost:
-            dp = [min((dp[u - x][0] + row[x], (*dp[u - x][1], x)) for x in range(u + 1)) for u in range(d + 2)]
-        if dp[d + 1][0] < best[0]:
-            best = (dp[d + 1][0], [(mask, x - 1) for mask, x in zip(masks, dp[d + 1][1]) if x])
+            dp = [min((dp[u - x][0] + row[x], (*dp[u - x][1], x)) for x in range(min(u + 1, len(row)))) for u in range(reach + 2)]
+        if dp[reach + 1][0] < best[0]:
+            best = (dp[reach + 1][0], [(w, mask, x - 1) for (w, mask), x in zip(masks, dp[reach + 1][1]) if x])
     return best[1]
 
 
@@ -151,29 +180,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _longs(numbers: list[int]):
+def _longs(numbers: list[int]) -> Column:
     return F.expr("cast(split('" + ",".join(str(_signed(v)) for v in numbers) + "', ',') as array<bigint>)")
 
 
-def _probes(own, every, lowest):
+def _probes(word: Column, own: Column, every: Column, lowest: Column) -> Column:
     """The keys beside its own that a fingerprint probes; lowest has the lowest bit of each flip."""
-    return F.transform(F.filter(every, lambda v, i: F.col("fp").bitwiseAND(F.get(lowest, i)) == 0), lambda v: own.bitwiseXOR(v))
+    return F.transform(F.filter(every, lambda v, i: word.bitwiseAND(F.get(lowest, i)) == 0), lambda v: own.bitwiseXOR(v))
 
 
 def _of_part(i: int):
     return lambda key: F.struct(F.lit(i).alias("part"), key.alias("key"))
 
 
-def signatures(fps: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+def signatures(fps: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
     """(part, key, fp): each fingerprint in its own bucket of each part and in those that it probes.  Of two that
     differ by a flip, only that with a 0 at the flip's lowest bit probes, so a pair meets once."""
     each = []
-    for i, (mask, t) in enumerate(parts):
-        own = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+    for i, (w, mask, t) in enumerate(parts):
+        word = F.get("fp", F.lit(w))
+        own = word.bitwiseAND(F.lit(_signed(mask)))
         keys = F.array(own)
         if t > 0:
             every = flips(mask, t)
-            keys = F.concat(keys, _probes(own, _longs(every), _longs([v & -v for v in every])))
+            keys = F.concat(keys, _probes(word, own, _longs(every), _longs([v & -v for v in every])))
         each.append(F.transform(keys, _of_part(i)))
     return fps.select("fp", F.explode(F.concat(*each)).alias("s")).select("s.part", "s.key", "fp")
 
@@ -200,80 +230,100 @@ class _Forest:
         return True
 
 
+_SEEDS = 64
+
+
 def forest_of(fps: np.ndarray, d: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within d among the distinct values of one bucket.  A value that has been
-    reached is compared with the unreached ones only, so a dense group costs about one pass."""
-    left = np.unique(fps)
-    edges: list[tuple[int, int]] = []
+    """A spanning forest, as pairs of rows, of the links within d in one bucket.  What has been reached is compared with
+    the unreached rows only, so a dense group costs about one pass; rows without links go by blocks."""
+    words = [np.ascontiguousarray(fps[:, w]) for w in range(fps.shape[1])]
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)), np.uint16)
+        for w in words:
+            out += np.bitwise_count(w[a][:, None] ^ w[b][None, :])
+        return out <= d
+
+    left, edges = np.arange(len(fps)), []
     while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop()
-            near = np.bitwise_count(left ^ x) <= d
-            if near.any():
-                reached = left[near]
-                edges += [(int(x), int(y)) for y in reached]
-                front += list(reached)
-                left = left[~near]
+        seeds = left[:_SEEDS]
+        met = near(seeds, left)
+        met[np.arange(len(seeds)), np.arange(len(seeds))] = False
+        links = met.sum(axis=1)
+        x = int(links.argmax())
+        if not links[x]:
+            left = left[len(seeds) :]
+            continue
+        front, stay = left[x : x + 1], np.ones(len(left), bool)
+        stay[: len(seeds)][links == 0] = False
+        stay[x] = False
+        left = left[stay]
+        while len(front) and len(left):
+            some, front = front[:_SEEDS], front[_SEEDS:]
+            met = near(some, left)
+            hit = met.any(axis=0)
+            reached = left[hit]
+            edges += zip(some[met[:, hit].argmax(axis=0)].tolist(), reached.tolist())
+            front, left = np.concatenate((front, reached)), left[~hit]
     return edges
 
 
 def small_links(bucket: np.ndarray, fps: np.ndarray, d: int) -> list[tuple[int, int, int]]:
-    """(bucket, a, b) links of many small buckets at once; rows are sorted by bucket."""
+    """(bucket, row, row) links of many small buckets at once; rows are sorted by bucket."""
     out, shift, at = [], 1, np.arange(len(fps))
     while len(at := at[at + shift < len(fps)]) and len(at := at[bucket[at] == bucket[at + shift]]):
-        near = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= d]
-        out += zip(bucket[near].tolist(), fps[near].tolist(), fps[near + shift].tolist())
+        near = at[np.bitwise_count(fps[at] ^ fps[at + shift]).sum(axis=1) <= d]
+        out += zip(bucket[near].tolist(), near.tolist(), (near + shift).tolist())
         shift += 1
     return out
 
 
-_LINK = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "part", "key")])
+_LINK = "a array<bigint>, b array<bigint>, part bigint, key bigint"
 _SMALL = 48
 
 
-def _scan(d: int, bucket_rows: int):
+def _scan(words: int, d: int, bucket_rows: int):
     """Reads rows (part, key, fp) sorted by bucket.  Gives links (a, b, -1, 0), and of a bucket that is too large its
     rows (fp, null, part, key)."""
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "part", "key"])
-
-    def signed(x: int) -> int:
-        return _signed(int(x))
+    def out(a: np.ndarray, b: np.ndarray | None, part: int = -1, key: int = 0) -> pa.RecordBatch:
+        other = pa.nulls(len(a), pa.list_(pa.int64())) if b is None else _column(b)
+        marks = (pa.array(np.full(len(a), x, np.int64)) for x in (part, key))
+        return pa.RecordBatch.from_arrays([_column(a), other, *marks], ["a", "b", "part", "key"])
 
     def ended(part: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole buckets, each of bucket_rows at most."""
         if not len(fp):
             return
         new = np.concatenate(([True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])))
-        bucket, size = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(fp)))
+        bucket, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(fp)))
         rows, forest, at = [], _Forest(), -1
-        few = (size[bucket] <= _SMALL) & (size[bucket] > 1)
-        # links by bucket; within one bucket a forest is enough
+        few = np.flatnonzero((size[bucket] <= _SMALL) & (size[bucket] > 1))
+        # within one bucket a forest is enough
         for k, a, b in sorted(small_links(bucket[few], fp[few], d)):
             if k != at:
                 forest, at = _Forest(), k
-            if a != b and forest.link(a, b):
-                rows.append((signed(a), signed(b), -1, 0))
-        starts = np.flatnonzero(new)
+            if forest.link(a, b):
+                rows.append((few[a], few[b]))
         for k in np.flatnonzero(size > _SMALL):
-            rows += [(signed(a), signed(b), -1, 0) for a, b in forest_of(fp[starts[k] : starts[k] + size[k]], d)]
-        for i in range(0, len(rows), 50_000):
-            yield out(rows[i : i + 50_000])
+            s = starts[k]
+            rows += [(s + a, s + b) for a, b in forest_of(fp[s : s + size[k]], d)]
+        for i in range(0, len(rows), 20_000):
+            some = np.array(rows[i : i + 20_000])
+            yield out(fp[some[:, 0]], fp[some[:, 1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words), np.uint64)]
         hot = None
         for b in batches:
-            part, key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            part, key, fp = part.astype(np.int64), key.astype(np.int64), fp.astype(np.int64).view(np.uint64)
+            part, key = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            fp = _matrix(b.column(2), words)
             if hot is not None:
                 rest = (part != hot[0]) | (key != hot[1])
                 at = int(np.argmax(rest)) if rest.any() else len(fp)
                 if at:
-                    yield out([(signed(x), None, *hot) for x in fp[:at]])
+                    yield out(fp[:at], None, *hot)
                 part, key, fp = part[at:], key[at:], fp[at:]
                 if not len(fp):
                     continue
@@ -285,40 +335,37 @@ def _scan(d: int, bucket_rows: int):
             held = [x[at:] for x in held]
             if len(held[0]) > bucket_rows:
                 hot = (int(held[0][0]), int(held[1][0]))
-                yield out([(signed(x), None, *hot) for x in held[2]])
+                yield out(held[2], None, *hot)
                 held = [x[:0] for x in held]
         yield from ended(*held)
 
     return run
 
 
-def links(fps: DataFrame, parts: list[tuple[int, int]], d: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (a, b) among distinct fingerprints that connect all that are within d; written."""
+def links(fps: DataFrame, parts: list[tuple[int, int, int]], d: int = DISTANCE, words: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links (a, b) among distinct fingerprints that connect those that are within d and share a bucket; written."""
     spark = fps.sparkSession
-    todo, found, level = signatures(fps, parts), None, 0
+    todo, found = signatures(fps, parts), None
     # the bits on which the fingerprints of a bucket need not agree, by part
-    free = {i: [b for b in range(BITS) if not mask >> b & 1] for i, (mask, _) in enumerate(parts)}
+    free = {i: [(w, b) for w in range(words) for b in range(BITS) if w != own or not mask >> b & 1] for i, (own, mask, _) in enumerate(parts)}
     while True:
         dealt = todo.repartition(base.shuffle_partitions(spark), "part", "key").sortWithinPartitions("part", "key", "fp")
-        here = base.written(base.batched(dealt).mapInArrow(_scan(d, bucket_rows), _LINK), "links")
+        here = base.written(base.batched(dealt).mapInArrow(_scan(words, d, bucket_rows), _LINK), "links")
         these = here.where("part = -1").select("a", "b")
         found = these if found is None else found.unionByName(these)
         hot = here.where("part >= 0")
         if hot.isEmpty():
             return found
         # A pair of one hot bucket differs in d bits at most, so it agrees on one of d + 1 groups of the free bits.
-        level += 1
-        finer, each, n = {}, [], 0
+        finer, each = {}, []
         for i in sorted(free):
-            groups = [free[i][j :: d + 1] for j in range(d + 1)]
-            for g in groups:
+            for g in (free[i][j :: d + 1] for j in range(d + 1)):
                 if g:
-                    own = F.col("a").bitwiseAND(F.lit(_signed(mask_of(g))))
-                    each.append((i, F.struct(F.lit(n).cast("long").alias("part"), F.xxhash64("part", "key", own).alias("key"))))
-                    finer[n] = [b for b in free[i] if b not in g]
-                    n += 1
-        keys = F.array(*(F.when(F.col("part") == i, s) for i, s in each))
-        todo = hot.select(F.col("a").alias("fp"), F.explode(F.filter(keys, lambda s: s.isNotNull())).alias("s")).select("s.part", "s.key", "fp").distinct()
+                    own = [F.get("a", F.lit(w)).bitwiseAND(F.lit(_signed(mask_of([b for v, b in g if v == w])))) for w in sorted({w for w, _ in g})]
+                    key = F.struct(F.lit(len(finer)).cast("long").alias("part"), F.xxhash64("part", "key", *own).alias("key"))
+                    each.append(F.when(F.col("part") == i, key))
+                    finer[len(finer)] = [x for x in free[i] if x not in g]
+        todo = hot.select(F.col("a").alias("fp"), F.explode(F.filter(F.array(*each), lambda s: s.isNotNull())).alias("s")).select("s.part", "s.key", "fp").distinct()
         free = finer
 
 
@@ -343,32 +390,32 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if where is None else where
 
 
-def components(fps: DataFrame, d: int = DISTANCE, sample: int = SAMPLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def components(fps: DataFrame, d: int = DISTANCE, reach: int | None = None, words: int = 1, probed: int = 1, sample: int = SAMPLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(fp, root, component_id) for each distinct fingerprint of a written table (doc_id, fp): the fingerprint that
     stands for the component, and the smallest doc_id in it."""
-    spark: SparkSession = fps.sparkSession
     distinct = base.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     n = distinct.count()
     drawn = [r[0] for r in base.drawn(distinct, "fp", sample).collect()]
-    parts = plan_parts(np.array(drawn, np.int64).view(np.uint64), n, d)
-    found = roots(links(distinct.select("fp"), parts, d, bucket_rows))
+    parts = plan_parts(np.array(drawn, np.int64).view(np.uint64).reshape(-1, words)[:, :probed], n, d if reach is None else reach, words)
+    found = roots(links(distinct.select("fp"), parts, d, words, bucket_rows))
     named = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, d: int = DISTANCE, sample: int = SAMPLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of each document."""
+    """doc_id, fingerprint (16 hex digits), component_id of each document, by fingerprints of one word."""
     fps = base.written(fingerprints(docs, text, k), "fingerprints")
-    return fps.join(components(fps, d, sample, bucket_rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = fps.join(components(fps, d, sample=sample, bucket_rows=bucket_rows), "fp")
+    return named.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, d: int = DISTANCE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", k: int = DEDUP_SHINGLE, words: int = DEDUP_WORDS, d: int = DEDUP_DISTANCE, probed: int = DEDUP_PROBED, reach: int = DEDUP_REACH) -> DataFrame:
     """One row of each component, that with the smallest doc_id (nulls last; of equal ids the smallest hash of the
     row's text); repeated rows count once.  All columns of docs."""
     none = -(1 << 63)
     marked = docs.withColumn("__h", F.xxhash64(base.text_of(docs, text))).withColumn("__i", F.coalesce(docs["doc_id"].cast("long"), F.lit(none)))
-    fps = base.written(fingerprints(marked, text, k, ("doc_id", "__i", "__h")), "fingerprints")
-    best = fps.join(components(fps, d), "fp").groupBy("root").agg(F.min(F.struct((F.col("__i") == none).alias("n"), "__i", "__h")).alias("m"))
+    fps = base.written(fingerprints(marked, text, k, words, ("doc_id", "__i", "__h")), "fingerprints")
+    best = fps.join(components(fps, d, reach, words, probed), "fp").groupBy("root").agg(F.min(F.struct((F.col("__i") == none).alias("n"), "__i", "__h")).alias("m"))
     kept = marked.join(best.select("m.__i", "m.__h"), ["__i", "__h"])
     return kept.dropDuplicates(["__i", "__h"]).select(docs.columns)

@@ -43,7 +43,9 @@ def components(fps, ids, d=4):
 
 @pytest.mark.parametrize("text", ODD)
 def test_fingerprint(text):
-    assert simhash.fingerprint(text or "") == slow_fingerprint(text)
+    assert simhash.fingerprint(text or "").tolist() == [slow_fingerprint(text)]
+    wide = simhash.fingerprint(text or "", words=4)
+    assert wide[0] == slow_fingerprint(text) and len(wide) == 4
 
 
 def clustered(n, seed=1):
@@ -62,12 +64,12 @@ def clustered(n, seed=1):
 @pytest.mark.parametrize("bucket_rows", [64, 50_000])
 def test_links(spark, thresholds, bucket_rows):
     fps = sorted(set(clustered(600)))
-    rows = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
-    parts = [(simhash.mask_of(list(range(a, b))), t) for a, b, t in thresholds] if thresholds else simhash.plan_parts(np.array(fps, np.uint64), len(fps))
+    rows = spark.createDataFrame([([simhash._signed(x)],) for x in fps], "fp array<bigint>")
+    parts = [(0, simhash.mask_of(list(range(a, b))), t) for a, b, t in thresholds] if thresholds else simhash.plan_parts(np.array(fps, np.uint64)[:, None], len(fps))
     found = simhash.links(rows, parts, bucket_rows=bucket_rows).distinct()
-    edges = [(a, b) for a, b in found.collect()]
+    edges = [(a[0], b[0]) for a, b in found.collect()]
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in edges)
-    root = {r.node: r.root for r in simhash.roots(found).collect()}
+    root = {r.node[0]: r.root[0] for r in simhash.roots(found).collect()}
     groups = {}
     for i, x in enumerate(fps):
         groups.setdefault(root.get(simhash._signed(x), simhash._signed(x)), set()).add(i)
@@ -79,12 +81,54 @@ def test_links(spark, thresholds, bucket_rows):
 
 def test_thresholds_cover():
     rng = np.random.default_rng(3)
-    sample = rng.integers(0, 2**63, 500, dtype=np.uint64)
-    for n in (10, 10**6, 10**9, 10**12):
-        parts = simhash.plan_parts(sample, n)
-        assert sum(t + 1 for _, t in parts) == 5
-        masks = [m for m, _ in parts]
-        assert all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])
+    for words, reach in ((1, 4), (2, 9), (4, 31)):
+        sample = rng.integers(0, 2**63, (300, words), dtype=np.uint64)
+        for n in (10, 10**6, 10**9, 10**12):
+            parts = simhash.plan_parts(sample, n, reach)
+            assert sum(t + 1 for _, _, t in parts) == reach + 1
+            masks = [m << 64 * w for w, m, _ in parts]
+            assert all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])
+
+
+@pytest.mark.parametrize("n", [3, 40, 200, 1000])
+def test_forest(n):
+    rng = np.random.default_rng(n)
+    centres = rng.integers(0, 2**63, (5, 2), dtype=np.uint64)
+    fps = centres[rng.integers(0, 5, n)].copy()
+    flip = rng.random((n, 2, 64)) < 0.04
+    fps ^= np.packbits(flip, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    fps = np.unique(np.concatenate((fps, rng.integers(0, 2**63, (n // 2, 2), dtype=np.uint64))), axis=0)
+    as_int = [int(a) | int(b) << 64 for a, b in fps]
+    edges = simhash.forest_of(fps, 9)
+    assert all((as_int[a] ^ as_int[b]).bit_count() <= 9 for a, b in edges)
+    forest = simhash._Forest()
+    assert all(forest.link(a, b) for a, b in edges)
+    wanted = components(as_int, range(len(as_int)), 9)
+    assert [forest.find(i) for i in range(len(as_int))] == wanted
+
+
+def edited(rng, words, share):
+    """A copy of which about so many words are others."""
+    return [w if rng.random() > share else "".join(rng.choices("klmnopq", k=6)) for w in words]
+
+
+def test_stage_finds_edited_copies(spark):
+    """Copies with shingles that overlap by 0.82 or more go, other texts stay."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    texts, near, shingles = [], 0, lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(150):
+        words = rng.choices(vocabulary, k=rng.choice([60, 200, 800]))
+        texts.append((1000 + i, " ".join(words)))
+        copy = edited(rng, words, 0.014)
+        a, b = shingles(words), shingles(copy)
+        if copy != words and len(a & b) / len(a | b) >= 0.82:
+            texts.append((5000 + i, " ".join(copy)))
+            near += 1
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert near > 60 and kept >= {i for i, _ in texts if i < 5000}
+    assert len(kept) - 150 <= 0.06 * near
 
 
 def test_documents(spark):
@@ -103,7 +147,7 @@ def test_documents(spark):
     fps = [slow_fingerprint(t) for t in texts]
     wanted = sorted((i is None, i, f"{f:016x}", c) for i, f, c in zip(ids, fps, components(fps, ids)))
     assert got == wanted
-    kept = simhash.drop_near_duplicates(docs)
+    kept = simhash.drop_near_duplicates(docs, k=4, words=1, d=4, probed=1, reach=4)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({w[3] for w in wanted})
 

@@ -9,6 +9,7 @@ cover `COVERAGE` of its windows.
 
 The benchmark's windows are broadcast if they are `BROADCAST_ROWS` at most, by count; beyond that the join shuffles.
 Documents are never shuffled for the broadcast join: their windows are made, looked up and dropped in the scan's stage.
+The shuffled join moves the windows' hashes alone.
 
 Nulls and ties: a null text counts as empty; a null doc_id is a document like any other.  Items of fewer tokens than a
 window have one window, themselves; items of fewer than `LEAST` tokens can't be told from chance and are left out.
@@ -85,7 +86,12 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
         each = t.withColumn("place", F.explode(places))
         each = each.withColumn("w", F.xxhash64(F.slice("h", F.col("place"), F.lit(n))))
         own = theirs.where(F.col("len") == n)
-        hits = each.join(F.broadcast(own) if small else own, "w")
+        if small:
+            hits = each.join(F.broadcast(own), "w")
+        else:  # the windows are shuffled without the tokens, which come back for the few that were met
+            met = each.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), "place", "w").join(own, "w")
+            raw = t.select("doc_id", "text_hash", "raw")
+            hits = met.join(raw, raw["doc_id"].eqNullSafe(met["__id"]) & (raw["text_hash"] == met["__h"]))
         here = hits.select("doc_id", "text_hash", "item_id", "total", "at", (F.col("place") - F.col("at")).alias("shift"), "item_raw", "item_canon", F.slice("raw", F.col("place"), F.lit(n)).alias("doc_raw"))
         found = here if found is None else found.unionByName(here)
     slots = F.filter(

@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the id that ends a document.
 END = 2
-#: Pieces that a worker keeps, and the longest of them.
-_KEPT, _LONG = 500_000, 48
+#: Pieces that a worker keeps in each of two generations, and the longest of them.
+_KEPT, _LONG = 400_000, 48
 _STOP = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?= )")
 _OTHER_STOP = "(^|[^A-Za-zÀ-ÖØ-öø-ÿ])[.,] "
 #: A special token of the vocabulary; it parts pieces that are encoded in one call.
@@ -65,6 +65,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.between = self.library.token_to_id(_BETWEEN)
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
         self.coded = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         self.direct = all(self._model(p) == self._whole(p) for p in _PROBES)
@@ -76,7 +77,7 @@ class Encoder:
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece, as bytes of unsigned 32-bit integers."""
+        """Ids of each piece from the library, as bytes of unsigned 32-bit integers."""
         out = {}
         if self.direct:
             tokenize, coded = self.library.model.tokenize, self.coded
@@ -98,17 +99,26 @@ class Encoder:
         return out
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
+        """Ids of distinct pieces.  A full generation becomes the old one; what is met in it again moves on, so that
+        common pieces stay."""
         found = list(map(self.known.get, pieces))
-        at = [i for i, ids in enumerate(found) if ids is None]
-        if at:
-            new = self._encode([pieces[i] for i in at])
-            for i in at:
-                found[i] = new[pieces[i]]
-            if len(self.known) + len(new) > _KEPT:
-                self.known = {"": b""}
-            if len(new) < _KEPT:
-                self.known |= {p: ids for p, ids in new.items() if len(p) <= _LONG}
+        fresh, new = {}, []
+        for i, ids in enumerate(found):
+            if ids is None:
+                p = pieces[i]
+                if p in self.old:
+                    fresh[p] = self.old[p]
+                else:
+                    new.append(p)
+        if new:
+            fresh |= self._encode(new)
+        if fresh:
+            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
+            short = {p: ids for p, ids in fresh.items() if len(p) <= _LONG}
+            if len(self.known) + len(short) > _KEPT:
+                self.old, self.known = self.known, {"": b""}
+            if len(short) <= _KEPT:
+                self.known |= short
         return found
 
     def _parts(self, texts: pa.Array):

@@ -64,9 +64,8 @@ def shred(df: DataFrame, doc: str, key: str) -> DataFrame:
                     found = []
                 at += [i] * len(found)
                 rows += found
-                if len(rows) >= _ROWS or i == b.num_rows - 1:
-                    cols = list(zip(*rows)) or [()] * len(kinds)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], schema.names)
+                if rows and (len(rows) >= _ROWS or i == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], schema.names)
                     at, rows = [], []
 
     return df.select(key, doc).mapInArrow(run, schema)

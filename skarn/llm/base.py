@@ -47,14 +47,13 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-#: Bytes of a batch that passes between the JVM and Python; by rows alone it would grow with the length of the texts.
+#: Bytes of a batch that passes from the JVM to Python; by rows alone it would grow with the length of the texts.
 BATCH_BYTES = "4m"
 
 
 def batched(df: DataFrame) -> DataFrame:
-    """df, its session set to pass at most about BATCH_BYTES (or one row) at once to and from Python."""
-    for key in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
-        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", BATCH_BYTES)
+    """df, its session set to pass at most about BATCH_BYTES (or one row) at once to Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 

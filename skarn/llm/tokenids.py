@@ -54,7 +54,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = tokens.VOCABULA
                 out.add(i, np.concatenate((found, last)))
         if out is not None:
             finish()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "number", "name", "documents", "ids", "bytes"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "number", "name", "documents", "ids", "bytes"])
 
     return base.written(base.batched(dealt.select("doc_id", "text", "__part")).mapInArrow(run, _MANIFEST), "manifest")
 
@@ -76,11 +77,11 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                         if len(rows) == 10_000:
                             yield batch(rows)
                             rows = []
-                    yield batch(rows)
+                    if rows:
+                        yield batch(rows)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return base.batched(at).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -154,7 +154,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int =
                 n, size = n + 1, size + len(data)
         if out is not None:
             finish()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*made)) or [()] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "number", "name", "records", "bytes"])
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "number", "name", "records", "bytes"])
 
     dealt = dealt.select("page_id", "url", "html", "sha", "first", "__part")
     return base.written(base.batched(dealt).mapInArrow(run, _MANIFEST), "manifest")
@@ -172,7 +173,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         return int(text) if text else None
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = base.Files(folder)
@@ -192,7 +193,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         if held >= 8 << 20 or len(rows) == 5000:
                             yield batch(rows)
                             rows, held = [], 0
-                yield batch(rows)
+                if rows:
+                    yield batch(rows)
 
     return base.batched(named).mapInArrow(run, schema)
 

@@ -30,11 +30,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage ends there, and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: lineage ends there, and a lost executor costs nothing.
+    Such tables are mostly numbers that don't compress, and a codec holds buffers outside the heap."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,7 +49,7 @@ def text_of(df: DataFrame, column: str = "text"):
 
 
 #: Bytes of a batch that passes from the JVM to Python; by rows alone it would grow with the length of the texts.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 
 def batched(df: DataFrame) -> DataFrame:

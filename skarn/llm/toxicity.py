@@ -41,7 +41,7 @@ _WORD = re.compile(r"\w+")
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SHIFT, _HALF, _REST = np.uint64(64 - BITS), np.uint64(31), np.uint64(33)
 #: Words whose hashes a worker keeps.
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 100_000
 
 
 class _Hashes(dict):

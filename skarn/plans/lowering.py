@@ -125,6 +125,11 @@ def _false(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _holds(test: Column, kind: Column) -> Column:
+    """Both; the kind, which costs more, is asked for only where the test holds."""
+    return _false(F.when(test, kind))
+
+
 def _compare(op: str, left: object, right: object, x: Column, root: Column) -> Column:
     if isinstance(left, Literal) and isinstance(right, Literal):
         from skarn.core.evaluate import Evaluator
@@ -157,13 +162,13 @@ def _against(op: str, v: Column, value: object) -> Column:
     if value is None:
         same = _false(k == "V")
     elif isinstance(value, bool):
-        same = _false((k == "B") & (F.try_variant_get(v, "$", "boolean") == value))
+        same = _holds(F.try_variant_get(v, "$", "boolean") == value, k == "B")
     else:
         kind, typed = ("S", F.try_variant_get(v, "$", "string")) if isinstance(value, str) else ("N", F.try_variant_get(v, "$", "double"))
         other = F.lit(value if isinstance(value, str) else float(value))
         if op == "!=":
-            return ~_false((k == kind) & (typed == other))
-        return _false((k == kind) & getattr(typed, _OPS[op])(other))
+            return ~_holds(typed == other, k == kind)
+        return _holds(getattr(typed, _OPS[op])(other), k == kind)
     return ~same if op == "!=" else same if op in ("==", "<=", ">=") else F.lit(False)
 
 

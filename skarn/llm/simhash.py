@@ -33,10 +33,8 @@ BITS = 64
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
-#: Of the deduplicating stage: shingles of five words, and 82 of 512 bits: texts whose shingles overlap by 0.8 differ in
-#: 78 on average, unrelated ones in 256.  Parts are laid out for a reach of 31, which finds nearly all of those pairs:
-#: it takes one part of many in which they are lucky.
-DEDUP_SHINGLE, DEDUP_WORDS, DEDUP_DISTANCE, DEDUP_PROBED, DEDUP_REACH = 5, 8, 82, 8, 31
+#: Of the deduplicating stage; what it links by is in `overlap`.
+DEDUP_SHINGLE = 5
 #: Fingerprints that the estimate of candidate counts reads, at most.
 SAMPLE = 2048
 #: Rows of a bucket that one task holds; 64 at least, so that larger buckets have bits left to be dealt by.
@@ -411,12 +409,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, d: in
     return named.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", k: int = DEDUP_SHINGLE, words: int = DEDUP_WORDS, d: int = DEDUP_DISTANCE, probed: int = DEDUP_PROBED, reach: int = DEDUP_REACH) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", k: int = DEDUP_SHINGLE, words: int = 1, d: int | None = None, probed: int = 1, reach: int | None = None) -> DataFrame:
     """One row of each component, that with the smallest doc_id (nulls last; of equal ids the smallest hash of the
-    row's text); repeated rows count once.  All columns of docs."""
+    row's text); repeated rows count once.  All columns of docs.  Links are overlaps of `overlap.OVERLAP` or more between
+    sets of shingles, or, where d is given, fingerprints within d bits."""
+    from . import overlap
+
     none = -(1 << 63)
     marked = docs.withColumn("__h", F.xxhash64(base.text_of(docs, text))).withColumn("__i", F.coalesce(docs["doc_id"].cast("long"), F.lit(none)))
-    fps = base.written(fingerprints(marked, text, k, words, ("doc_id", "__i", "__h")), "fingerprints")
-    best = fps.join(components(fps, d, reach, words, probed), "fp").groupBy("root").agg(F.min(F.struct((F.col("__i") == none).alias("n"), "__i", "__h")).alias("m"))
+    first = F.min(F.struct((F.col("__i") == none).alias("n"), "__i", "__h")).alias("m")
+    if d is None:
+        each = base.written(overlap.described(marked, text, k, overlap.OVERLAP, overlap.late_shingles(marked, text, k)), "described")
+        sets = base.written(each.groupBy("sid").agg(first, *(F.first(c).alias(c) for c in ("n", "sketch", "prefix"))), "sets")
+        found = roots(overlap.links(marked, sets, text, k)).select(F.col("node").alias("sid"), "root")
+        best = sets.select("sid", "m").join(found, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("m").alias("m"))
+    else:
+        fps = base.written(fingerprints(marked, text, k, words, ("doc_id", "__i", "__h")), "fingerprints")
+        best = fps.join(components(fps, d, reach, words, probed), "fp").groupBy("root").agg(first)
     kept = marked.join(best.select("m.__i", "m.__h"), ["__i", "__h"])
     return kept.dropDuplicates(["__i", "__h"]).select(docs.columns)

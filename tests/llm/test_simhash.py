@@ -158,3 +158,54 @@ def test_empty_and_repeated(spark):
     same = spark.createDataFrame([(1, "x y")] * 3 + [(None, "x y"), (None, None)], "doc_id long, text string")
     assert [r.component_id for r in same.transform(simhash.near_duplicates).orderBy("component_id").collect()] == [None, 1, 1, 1, 1]
     assert sorted(map(str, (r.doc_id for r in simhash.drop_near_duplicates(same).collect()))) == ["1", "None"]
+
+
+def overlap_of(one, two):
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    a, b = shingles(one), shingles(two)
+    return len(a & b) / len(a | b)
+
+
+def family(seed, groups, copies, least=60, most=400):
+    """Texts by id; each group has edited copies of one text, whose overlaps lie on both sides of 0.8."""
+    rng, texts = random.Random(seed), {}
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    line = " ".join(rng.choices(vocabulary, k=12))
+    for g in range(groups):
+        words = rng.choices(vocabulary, k=rng.randint(least, most))
+        texts[g * 1000] = " ".join([*words, line])
+        for c in range(1, copies):
+            texts[g * 1000 + c] = " ".join([*edited(rng, words, rng.uniform(0.002, 0.035)), line])
+    return texts
+
+
+def wanted_of(texts):
+    """The smallest id of each component of all pairs with an overlap of 0.8 or more, and the numbers of pairs by side."""
+    forest, near, far = simhash._Forest(), 0, 0
+    ids = sorted(texts)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            if a // 1000 == b // 1000:
+                o = overlap_of(texts[a], texts[b])
+                near, far = near + (o >= 0.8), far + (0.65 <= o < 0.8)
+                if o >= 0.8:
+                    forest.link(a, b)
+    return {forest.find(i) for i in ids}, near, far
+
+
+def test_stage_finds_every_pair(spark):
+    """All pairs with an overlap of 0.8 or more, at whatever distance of their fingerprints."""
+    texts = family(3, 250, 2)
+    wanted, near, _ = wanted_of(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert near > 100 and not kept - wanted
+
+
+def test_large_buckets(spark):
+    """A large group of near copies takes several rounds, and gives the components of brute force."""
+    texts = family(8, 2, 120, 100, 200)
+    wanted, near, far = wanted_of(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert near > 1000 and far > 1000
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == wanted

@@ -209,3 +209,12 @@ def test_large_buckets(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert near > 1000 and far > 1000
     assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == wanted
+
+
+def test_stage_keeps_lesser_overlaps(spark):
+    """No document goes for overlaps below 0.8 alone."""
+    texts = family(4, 250, 2)
+    wanted, _, far = wanted_of(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert far > 40 and not wanted - kept

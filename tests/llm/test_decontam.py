@@ -74,3 +74,28 @@ def test_empty_and_plan(spark):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0 and decontam.drop_contaminated(docs, items.limit(0)).count() == 2
     plan = decontam.contaminated(docs, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def found(spark, item, texts, **how):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return [r.doc_id for r in decontam.leaks(docs, items, **how).orderBy("doc_id").collect()]
+
+
+def test_slots_of_several_tokens(spark):
+    """A slot's new value may have another number of tokens, at any place of a short item."""
+    item = "how long does it take to reach Paris by train when leaving at noon today"
+    texts = [noise(20, 1) + ". " + item.replace("Paris", name) + " " + noise(20, 2) for name in ("Paris", "New York", "the city")]
+    assert len(item.split()) == 15 and found(spark, item, texts) == [0, 1]
+    assert found(spark, item, texts, broadcast_rows=0) == [0, 1]
+    number = "how long does it take them to go 300 steps along the river until noon"
+    assert found(spark, number, [number.replace("300", "3 000"), number.replace("300", "many")]) == [0]
+
+
+def test_quotation(spark):
+    """A long item leaks by a fixed number of consecutive tokens."""
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so") for b in ("bem", "dil", "fon", "gar", "hust", "jek", "mor", "nax", "tiv")][:59]
+    item = " ".join(words)
+    part = lambda a, n: noise(20, a) + " " + " ".join(words[a : a + n]) + " " + noise(20, n)
+    texts = [part(10, 30), part(20, decontam.RUN), part(20, decontam.RUN - 1), part(3, 9) + " " + part(40, 9)]
+    assert found(spark, item, texts) == [0, 1]

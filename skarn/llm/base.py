@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,29 +19,105 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+#: The folders of each open scope; the first list is of those that no scope removes.
+_scopes: list[list[str]] = [[]]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary folder only where that is unset
-    (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a temporary folder does for
+    a local master; on a cluster, whose executors couldn't see it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skarn-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="skarn-"))
+        found = _local[0]
     return found.rstrip("/")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
+def work_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A new path in the shared folder.  It goes with the innermost scope, or with the one around that if it outlives it."""
+    path = f"{shared_dir(spark)}/skarn/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _scopes[-2 if outlives and len(_scopes) > 1 else -1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str, pattern: str = "") -> None:
+    """Removes a folder of the shared one, or what in it has names like the pattern."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for x in [f.getPath() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, pattern)) or ()] if pattern else [at]:
+        fs.delete(x, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Paths made inside are removed at its end, but for those that outlive it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
-def written(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has left in the shared folder; frames that read it can't be used any more."""
+    remove(spark, f"{shared_dir(spark)}/skarn/{spark.sparkContext.applicationId}")
+    _scopes[0].clear()
+
+
+def written(df: DataFrame, name: str, compression: str = "none", outlives: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends there, and a lost executor costs nothing.
     Such tables are mostly numbers that don't compress, and a codec holds buffers outside the heap."""
     spark = df.sparkSession
-    path = work_path(spark, name)
+    path = work_path(spark, name, outlives)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is that of a column of df, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns that can be hashed: not those with maps or variants in them."""
+    return [df[f"`{f.name}`"] for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+
+
+#: Rows that are broadcast at most, by count; they are of a few numbers each.
+BROADCAST_ROWS = 200_000
+
+
+def without(df: DataFrame, keys: list[str], gone: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of df whose keys are not in gone, a written table of keys.  Few of those are broadcast, so that df stays
+    where it is."""
+    return df.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, keys, "left_anti")
+
+
+#: A key of more than this share of all rows is heavy; so there are fewer than its inverse of them.
+HEAVY = 0.001
+
+
+def looked_up(df: DataFrame, by: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """df joined to by, a written table with one row a key and the number of rows that df has for it.  The few heavy keys
+    are broadcast, so that no task gets all rows of one; the others are shuffled."""
+    heavy = by.where(F.col(count) > HEAVY * total).drop(count)
+    light = df.join(F.broadcast(heavy.select(key)), key, "left_anti").join(by.where(F.col(count) <= HEAVY * total).drop(count), key, how)
+    return df.join(F.broadcast(heavy), key).unionByName(light)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,8 +132,11 @@ BATCH_BYTES = "2m"
 
 
 def batched(df: DataFrame) -> DataFrame:
-    """df, its session set to pass at most about BATCH_BYTES (or one row) at once to Python."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """df, its session set to pass at most about BATCH_BYTES (or one row) at once to Python.  That is a setting of the
+    session, read when a plan runs, so frames that are returned need it for as long as they live; one that is set is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
     return df
 
 
@@ -84,11 +166,25 @@ class Files:
         return open(self.path(name), "rb") if self.fs is None else self.fs.open_input_file(self.path(name))
 
     def move(self, old: str, new: str) -> None:
-        """Puts a finished file in its place; a second attempt of the same task writes the same bytes there."""
+        """Puts a finished file in its place.  A second attempt of the same task writes the same bytes there, so where a
+        file system doesn't replace a file, the one that is there stays."""
         if self.fs is None:
             os.replace(self.path(old), self.path(new))
-        else:
+            return
+        try:
             self.fs.move(self.path(old), self.path(new))
+        except OSError:
+            there, mine = self.fs.get_file_info([self.path(new), self.path(old)])
+            if not there.is_file or there.size != mine.size:
+                raise
+            self.fs.delete_file(self.path(old))
+
+    def drop(self, name: str) -> None:
+        """Removes the file of an attempt that has failed, if it is there."""
+        try:
+            os.remove(self.path(name)) if self.fs is None else self.fs.delete_file(self.path(name))
+        except OSError:
+            pass
 
 
 def drawn(df: DataFrame, key: str, k: int) -> DataFrame:

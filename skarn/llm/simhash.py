@@ -43,7 +43,7 @@ BUCKET_ROWS = 50_000
 ROW_COST, PAIR_COST = 4.0, 0.002
 #: Largest threshold of a part; its flips are listed in the plan.
 MOST = 3
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
 #: Multipliers of a 64-bit finaliser, from which further words are made.
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -51,7 +51,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 def shingle_spans(text: str, k: int) -> tuple[bytes, list[int], list[int]]:
     """The words joined by one space, and the byte spans of all k-word shingles in it."""
-    words = text.encode().translate(_LOWER).split()
+    words = text.encode().translate(LOWER).split()
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(words) else ends
@@ -62,16 +62,28 @@ def shingle_spans(text: str, k: int) -> tuple[bytes, list[int], list[int]]:
     return joined, starts.tolist(), ends.tolist()
 
 
-def _word(h: np.ndarray, j: int) -> np.ndarray:
-    """The hashes as they count for word j: themselves, or mixed anew."""
-    if not j:
-        return h
-    h = h + np.uint64(j * int(_MIX[0]) & (1 << 64) - 1)
+def mixed(h: np.ndarray) -> np.ndarray:
     for m in _MIX:
         h = (h ^ (h >> np.uint64(33))) * m
     return h ^ (h >> np.uint64(33))
 
 
+def _word(h: np.ndarray, j: int) -> np.ndarray:
+    """The hashes as they count for word j: themselves, or mixed anew."""
+    return mixed(h + np.uint64(j * int(_MIX[0]) & (1 << 64) - 1)) if j else h
+
+
+def _set_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts = sum((_set_bits(h[i : i + _CHUNK]) for i in range(0, len(h), _CHUNK)), np.zeros(BITS, np.int64))
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, k: int = SHINGLE, words: int = 1) -> np.ndarray:
     """Bit b of a word is 1 if it is set in over half of the shingles' hashes; all 0 without words."""
     joined, starts, ends = shingle_spans(text, k)
@@ -79,8 +91,7 @@ def fingerprint(text: str, k: int = SHINGLE, words: int = 1) -> np.ndarray:
     for i in range(0, len(starts), _CHUNK):
         h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK])], "<u8")
         for j in range(words):
-            bits = np.unpackbits(_word(h, j).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[j] += bits.sum(axis=0, dtype=np.int64)
+            counts[j] += _set_bits(_word(h, j))
     return np.packbits(2 * counts > len(starts), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
@@ -369,62 +380,92 @@ def links(fps: DataFrame, parts: list[tuple[int, int, int]], d: int = DISTANCE,
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links.  Contraction rounds: each node moves to that of its neighbourhood
-    with the smallest hash, links follow, until none is left; hashed order makes the rounds few."""
-    edges = base.written(edges.where("a <> b").distinct(), "edges")
-    where: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("x"))), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("x")))
-        step = base.written(both.groupBy("a").agg(least.alias("s")).select(F.col("a").alias("node"), F.col("s.x").alias("root")), "step")
+    """(node, root) for every node of the links; written.  Contraction rounds: each node moves to that of its neighbourhood
+    with the smallest hash, links follow, until none is left; hashed order makes the rounds few.  Hubs are looked up by
+    broadcast, so that no task gets all links of one."""
+    with base.scope(edges.sparkSession):
+        edges = base.written(edges.where("a <> b").distinct(), "edges")
+        where: DataFrame | None = None
+        while n := edges.count():
+            both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = F.least(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("x"))), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("x")))
+            step = base.written(both.groupBy("a").agg(least.alias("s"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.col("s.x").alias("root"), "n"), "step")
+            if where is None:
+                where = step.select("node", "root")
+            else:
+                sizes = where.groupBy("root").agg(F.count("*").alias("n"))
+                here = base.written(sizes.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root"), "ups")
+                where = base.looked_up(where, here, "root", "n", where.count(), "left")
+                where = base.written(where.select("node", F.coalesce("up", "root").alias("root")), "roots")
+            for side in ("a", "b"):
+                here = step.select(F.col("node").alias(side), F.col("root").alias("to"), "n")
+                edges = base.looked_up(edges, here, side, "n", 2 * n).drop(side).withColumnRenamed("to", side)
+            edges = base.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
         if where is None:
-            where = step
-        else:
-            here = step.select(F.col("node").alias("root"), F.col("root").alias("__up"))
-            where = base.written(where.join(here, "root", "left").select("node", F.coalesce("__up", "root").alias("root")), "roots")
-        for side in ("a", "b"):
-            here = step.select(F.col("node").alias(side), F.col("root").alias(f"__{side}"))
-            edges = edges.join(here, side).drop(side).withColumnRenamed(f"__{side}", side)
-        edges = base.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if where is None else where
+            where = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return base.written(where, "roots", outlives=True)
 
 
-def components(fps: DataFrame, d: int = DISTANCE, reach: int | None = None, words: int = 1, probed: int = 1, sample: int = SAMPLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint of a written table (doc_id, fp): the fingerprint that
-    stands for the component, and the smallest doc_id in it."""
-    distinct = base.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    n = distinct.count()
+def linked(distinct: DataFrame, d: int = DISTANCE, reach: int | None = None, words: int = 1, probed: int = 1, sample: int = SAMPLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links (a, b) of a written table of distinct fingerprints fp, by parts and thresholds that its size and a sample give."""
     drawn = [r[0] for r in base.drawn(distinct, "fp", sample).collect()]
-    parts = plan_parts(np.array(drawn, np.int64).view(np.uint64).reshape(-1, words)[:, :probed], n, d if reach is None else reach, words)
-    found = roots(links(distinct.select("fp"), parts, d, words, bucket_rows))
-    named = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    parts = plan_parts(np.array(drawn, np.int64).view(np.uint64).reshape(-1, words)[:, :probed], distinct.count(), d if reach is None else reach, words)
+    return links(distinct.select("fp"), parts, d, words, bucket_rows)
+
+
+def components(fps: DataFrame, d: int = DISTANCE, reach: int | None = None, words: int = 1, probed: int = 1, sample: int = SAMPLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(fp, root, copies, component_id) for each distinct fingerprint of a written table (doc_id, fp): the fingerprint that
+    stands for the component, how many rows have this one, and the smallest doc_id in the component; written."""
+    with base.scope(fps.sparkSession):
+        distinct = base.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+        found = roots(linked(distinct, d, reach, words, probed, sample, bucket_rows))
+        named = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        named = base.written(named, "named")
+        least = base.written(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+        out = base.looked_up(named, least, "root", "n", named.count())
+        return base.written(out.select("fp", "root", "copies", "component_id"), "components", outlives=True)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, d: int = DISTANCE, sample: int = SAMPLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each document, by fingerprints of one word."""
     fps = base.written(fingerprints(docs, text, k), "fingerprints")
-    named = fps.join(components(fps, d, sample=sample, bucket_rows=bucket_rows), "fp")
+    by = components(fps, d, sample=sample, bucket_rows=bucket_rows).select("fp", "copies", "component_id")
+    named = base.looked_up(fps, by, "fp", "copies", fps.count())
     return named.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", k: int = DEDUP_SHINGLE, words: int = 1, d: int | None = None, probed: int = 1, reach: int | None = None) -> DataFrame:
     """One row of each component, that with the smallest doc_id (nulls last; of equal ids the smallest hash of the
-    row's text); repeated rows count once.  All columns of docs.  Links are overlaps of `overlap.OVERLAP` or more between
-    sets of shingles, or, where d is given, fingerprints within d bits."""
+    row's text, then of the whole row); repeated rows count once.  All columns of docs.  Links are overlaps of
+    `overlap.OVERLAP` or more between sets of shingles, found by fingerprints within d bits and by prefixes, and verified;
+    or, where d is given, fingerprints within d bits alone."""
     from . import overlap
 
-    none = -(1 << 63)
-    marked = docs.withColumn("__h", F.xxhash64(base.text_of(docs, text))).withColumn("__i", F.coalesce(docs["doc_id"].cast("long"), F.lit(none)))
-    first = F.min(F.struct((F.col("__i") == none).alias("n"), "__i", "__h")).alias("m")
-    if d is None:
-        each = base.written(overlap.described(marked, text, k, overlap.OVERLAP, overlap.late_shingles(marked, text, k)), "described")
-        sets = base.written(each.groupBy("sid").agg(first, *(F.first(c).alias(c) for c in ("n", "sketch", "prefix"))), "sets")
-        found = roots(overlap.links(marked, sets, text, k)).select(F.col("node").alias("sid"), "root")
-        best = sets.select("sid", "m").join(found, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("m").alias("m"))
-    else:
-        fps = base.written(fingerprints(marked, text, k, words, ("doc_id", "__i", "__h")), "fingerprints")
-        best = fps.join(components(fps, d, reach, words, probed), "fp").groupBy("root").agg(first)
-    kept = marked.join(best.select("m.__i", "m.__h"), ["__i", "__h"])
-    return kept.dropDuplicates(["__i", "__h"]).select(docs.columns)
+    spark, none = docs.sparkSession, -(1 << 63)
+    i, h, r = base.unused(docs, "__i", "__h", "__r")
+    keys = {i: F.coalesce(docs["doc_id"].cast("long"), F.lit(none)), h: F.xxhash64(base.text_of(docs, text)), r: F.xxhash64(*base.hashable(docs))}
+    slim = docs.select(*(c.alias(x) for c, x in zip(keys.values(), "ihr")), base.text_of(docs, text).alias("text"))
+    with base.scope(spark):
+        if d is None:
+            each = base.written(overlap.described(slim, k, overlap.OVERLAP, overlap.late_shingles(slim, k)), "described")
+            first = F.min(F.struct((F.col("i") == none).alias("n"), "i", "h", "r")).alias("m")
+            sets = base.written(each.groupBy("sid").agg(first, *(F.first(c).alias(c) for c in ("n", "sketch", "wide", "prefix", "fp"))), "sets")
+            each = base.written(each.select("i", "h", "r", F.col("sid").alias("node")), "each")
+            found = roots(overlap.links(slim, sets, k))
+        else:
+            each = base.written(fingerprints(slim.withColumn("doc_id", F.when(F.col("i") != none, F.col("i"))), "text", k, words, ("doc_id", "i", "h", "r")), "fingerprints")
+            found = components(each, d, reach, words, probed).select(F.col("fp").alias("node"), "root")
+            each = each.withColumnRenamed("fp", "node")
+        rows = base.written(each.groupBy("i", "h", "r", "node").agg(F.count("*").alias("n")), "rows")
+        nodes = rows.groupBy("node").agg(F.min(F.struct((F.col("i") == none).alias("n"), "i", "h", "r")).alias("m"))
+        best = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
+        best = base.written(best.select("m.i", "m.h", "m.r"), "best")
+        names = [F.col(x).alias(y) for x, y in zip("ihr", keys)]
+        gone = base.written(rows.join(best, ["i", "h", "r"], "left_anti").select(*names), "gone", outlives=True)
+        again = base.written(rows.where("n > 1").join(best, ["i", "h", "r"]).select(*names), "again", outlives=True)
+    marked = docs.withColumns(keys)
+    kept = base.without(marked, list(keys), gone)
+    if not again.isEmpty():
+        once = kept.join(F.broadcast(again) if again.count() <= base.BROADCAST_ROWS else again, list(keys), "left_semi").dropDuplicates(list(keys))
+        kept = base.without(kept, list(keys), again).unionByName(once)
+    return kept.select(docs.columns)

@@ -5,12 +5,15 @@ total size over own size, so that the expected mix has the weights and the old t
 number of copies from a Poisson distribution with that mean, by inverting the distribution function at a uniform number
 made from a hash of seed and document; a mean above `CHUNK` is a sum of equal smaller ones with draws of their own.  The
 copies are exploded where the row is and sorted, over all partitions, by a hash of seed, document and copy: a global
-shuffle that any run repeats.  The sizes are one small row for each name given, so a source with a third of all rows is no burden.
+shuffle that any run repeats.  Where a group's mean allows for more than `BLOCK` copies of a row, its rows are exploded to
+blocks of so many first, and those dealt to all tasks.  The sizes are one small row for each name given, so a source with
+a third of all rows is no burden.
 
 Nulls and ties: a null source belongs to the others; a null text has size 0; a document is known by its id, or where
 that is null by its text, so repeated rows get equal counts.  A source of size 0 or of weight 0 yields nothing.  Equal
-shuffle keys come in order of id and copy.  An empty table gives an empty table.  Extra columns stay; the two new ones
-are mix_copy (from 0) and mix_key, and replace columns of that name.
+shuffle keys come in order of id and copy.  A very long text is a row like any other.  An empty table gives an empty
+table.  Extra columns stay, whatever their names; the two new ones are mix_copy (from 0) and mix_key, and replace columns
+of that name in whatever case.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ REST = "*"
 CHUNK = 16.0
 #: Terms of the distribution function; the rest is below 1e-40 for a mean of CHUNK.
 TERMS = 100
+#: Copies of a row that one task makes at once.
+BLOCK = 4096
 
 
 def _number(*parts: Column | str) -> Column:
@@ -59,8 +64,11 @@ def replicate(docs: DataFrame, weights: dict[str, float], seed: str = "mix-1", t
     """The mixed rows in shuffled order: all columns of docs, mix_copy, mix_key."""
     names = list(weights)
     rate = rates(sizes(docs, names, text), weights)
+    kept = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_key")]
+    n, k, first = base.unused(docs, "__n", "__key", "__first")
     key = F.coalesce(docs["doc_id"].cast("string"), F.md5(base.text_of(docs, text)))
-    counts = F.lit(0)
+    source = docs["source"].cast("string")
+    counts, large, blocked = F.lit(0), F.lit(False), False
     for group, mean in rate.items():
         if mean <= 0:
             continue
@@ -73,17 +81,23 @@ def replicate(docs: DataFrame, weights: dict[str, float], seed: str = "mix-1", t
             return F.get(F.transform(F.array(u), lambda x: F.size(F.filter(steps, lambda c: c <= x))), F.lit(0))
 
         count = drawn(F.lit(0)) if chunks == 1 else F.aggregate(F.sequence(F.lit(0), F.lit(chunks - 1)), F.lit(0), lambda a, i: a + drawn(i))
-        here = F.col("source").isin([n for n in names if n != REST]) if group == REST else F.col("source") == group
-        here = ~F.coalesce(here, F.lit(False)) if group == REST else F.coalesce(here, F.lit(False))
+        here = ~F.coalesce(source.isin([n for n in names if n != REST]), F.lit(False)) if group == REST else F.coalesce(source == group, F.lit(False))
         counts = F.when(here, count).otherwise(counts)
-    kept = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
-    counted = docs.withColumn("__n", counts).withColumn("__key", key).where("__n > 0")
-    copies = counted.select(*kept, "__key", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
-    copies = copies.withColumn("mix_key", _number(seed, F.lit("order"), F.col("__key"), F.col("mix_copy").cast("string")))
+        if chunks * TERMS > BLOCK:  # a chunk has less than TERMS copies
+            large, blocked = large | here, True
+    parts = base.shuffle_partitions(docs.sparkSession)
+    counted = docs.withColumn(n, counts).withColumn(k, key)
+    each = F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("mix_copy")
+    copies = counted.where(~large & (F.col(n) > 0)).select(*(docs[f"`{c}`"] for c in kept), k, each)
+    if blocked:
+        blocks = counted.where(large & (F.col(n) > 0)).withColumn(first, F.explode(F.sequence(F.lit(0), F.col(n) - 1, F.lit(BLOCK))))
+        blocks = blocks.repartition(parts, k, first)
+        each = F.explode(F.sequence(F.col(first), F.least(F.col(first) + BLOCK, F.col(n)) - 1)).alias("mix_copy")
+        copies = copies.unionByName(blocks.select(*(blocks[f"`{c}`"] for c in kept), k, each))
+    copies = copies.withColumn("mix_key", _number(seed, F.lit("order"), F.col(k), F.col("mix_copy").cast("string")))
     # the key is uniform, so the ranges of a global sort are known without a pass that samples them
-    n = base.shuffle_partitions(docs.sparkSession)
-    part = F.least(F.lit(n - 1), F.floor(F.col("mix_key").cast("double") / float(1 << 60) * n).cast("int"))
-    return copies.repartitionById(n, part).sortWithinPartitions("mix_key", "__key", "mix_copy").drop("__key")
+    part = F.least(F.lit(parts - 1), F.floor(F.col("mix_key").cast("double") / float(1 << 60) * parts).cast("int"))
+    return copies.repartitionById(parts, part).sortWithinPartitions("mix_key", k, "mix_copy").drop(k)
 
 
 def sql(weights: dict[str, float], seed: str = "mix-1") -> str:

@@ -61,3 +61,23 @@ def test_no_python(spark):
     docs, _ = rows(spark, 10)
     plan = mixing.replicate(docs, {"s0": 1.0, "*": 1.0})._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_blocks_of_copies(spark, monkeypatch):
+    """Rows of large rates are exploded in blocks that are dealt out, to the same copies."""
+    docs = spark.createDataFrame([(i, "ab", "tiny" if i < 2 else "huge", "x") for i in range(9000)], "doc_id long, text string, source string, __n string")
+    whole = mixing.replicate(docs, {"tiny": 0.9, "huge": 0.1}, "b")
+    assert "RoundRobin" not in (plan := whole._jdf.queryExecution().toString()) and plan.count("Generate") > 0
+    wanted = collections.Counter((r.doc_id, r.mix_copy, r.mix_key) for r in whole.collect())
+    rate = 0.9 * 9000 / 2
+    assert collections.Counter(k[0] for k in wanted if k[0] < 2) == {i: drawn("b", i, rate) for i in range(2)}
+    monkeypatch.setattr(mixing, "BLOCK", 1 << 40)
+    assert collections.Counter((r.doc_id, r.mix_copy, r.mix_key) for r in mixing.replicate(docs, {"tiny": 0.9, "huge": 0.1}, "b").collect()) == wanted
+
+
+def test_clashing_names(spark):
+    data = [(i, "ab", "s", 7, "k", 8, "x") for i in range(20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, __n int, __key string, __first int, MIX_KEY string")
+    out = mixing.replicate(docs, {"*": 1.0})
+    assert out.columns == ["doc_id", "text", "source", "__n", "__key", "__first", "mix_copy", "mix_key"]
+    assert {(r["__n"], r["__key"], r["__first"]) for r in out.collect()} == {(7, "k", 8)}

@@ -7,12 +7,14 @@ model is a short list of (place, weight), whose size has the fixed bound 2**20.
 of training rows, as does what a place without a meaning gathers by chance.
 
 Training reads a bounded sample: at most `max_labelled` labelled documents that the fold lets in, those with the
-smallest hash of doc_id.  One task streams them in a hashed order, once for each epoch, and holds only its two state
+smallest hash of doc_id, a row for each id.  One task streams them in a hashed order, once for each epoch, and holds only its two state
 vectors.  Scoring reads every whole text.
 
 Nulls and ties: a null text counts as empty and gets the score of the bias; a null doc_id is never labelled and never
 held out.  Several labels of one document count as their largest; null labels do not count.  Without labelled rows all
-scores are 0.5.  Repeated rows stay rows.  An empty table gives an empty table.  Extra columns are not read.
+scores are 0.5.  Repeated rows stay rows and are learnt from once; of texts with one id, that with the smallest hash.  A
+very long text is scored whole, in memory by its words.  An empty table gives an empty table.  Extra columns are not read;
+`drop_toxic` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,7 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     drawn = known.join(base.drawn(known, "doc_id", max_labelled), "doc_id")  # max_labelled bounds what is broadcast
     l1 = L1 * math.sqrt(drawn.count())
+    # a row for each id, that with the smallest hash of its text: a repeated one would bring all its rows to the one task
     rows = docs.select("doc_id", base.text_of(docs).alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,11 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """docs with __score (double) and __predicted (int), from whole texts."""
+    """docs with two more columns at the end, the score (double) and the prediction (int) from whole texts.  They are
+    named __score and __predicted, with more underscores where docs has columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    mine = docs.withColumn("__text", base.text_of(docs))
-    schema = T.StructType([*docs.schema, T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())])
+    mine = docs.select("*", base.text_of(docs).alias(base.unused(docs, "__text")[0]))
+    found = base.unused(docs, "__score", "__predicted")
+    schema = T.StructType([*docs.schema, *(T.StructField(c, k) for c, k in zip(found, (T.DoubleType(), T.IntegerType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = shared.value
@@ -159,7 +165,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
 
         for b in batches:
             s = np.array([one(t.as_py()) for t in b.column(len(names))], float)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "__score", "__predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, *found])
 
     return base.batched(mine).mapInArrow(run, schema)
 
@@ -168,9 +174,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     """doc_id, held_out, score, predicted of each document."""
     slim = docs.select("doc_id", base.text_of(docs).alias("text"))
     out = score(slim, train(docs, labels, max_labelled))
-    return out.select("doc_id", held_out(out["doc_id"]).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    score_, predicted = out.columns[-2:]
+    return out.select("doc_id", held_out(out["doc_id"]).alias("held_out"), F.col(score_).alias("score"), F.col(predicted).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is below the threshold; all columns of docs."""
-    return score(docs, train(docs, labels), threshold).where("__predicted = 0").select(docs.columns)
+    out = score(docs, train(docs, labels), threshold)
+    return out.where(F.col(out.columns[-1]) == 0).select(docs.columns)

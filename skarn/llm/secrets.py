@@ -10,13 +10,14 @@ words, and pairs of words joined as identifiers are, of at most `SAMPLE` documen
 the driver is a count for each pair of characters, at most 68 * 68 numbers.
 
 Positions come from the lengths of matches and of the text between them, summed in blocks, so that a text with many
-matches costs little more than its length.  Nulls and ties: a null text counts as empty; a null doc_id stays null;
-repeated rows stay rows.  An empty table gives an empty table.  Extra columns are not read.
+matches costs little more than its length; a run is read once, in pieces, and runs meet base spans in one order.  Nulls
+and ties: a null text counts as empty; a null doc_id stays null; repeated rows stay rows.  An empty table gives an empty table.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,19 +37,30 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Documents and random strings that training reads, at most.
 SAMPLE, RANDOM = 2000, 4096
 RATIO = 0.5
-_BLOCK = 256
+_BLOCK, _PIECE = 256, 4096
+
+
+def _scan(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What op makes of all elements before each, from zero on; in blocks, so that no long array is copied again and again."""
+
+    def folded(a: Column, first: Column) -> Column:
+        return F.aggregate(a, F.array(first), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+    totals = F.transform(blocks, lambda a: F.aggregate(a, zero, lambda acc, x: op(acc, x)))
+    firsts = folded(totals, zero)
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("a"), F.slice(firsts, 1, F.size(blocks)).alias("f")), lambda z: F.slice(folded(z["a"], z["f"]), F.lit(1), F.size(z["a"]))))
 
 
 def _before(lengths: Column) -> Column:
-    """Sums of all elements before each, in blocks, so that no long array is copied again and again."""
+    """Sums of all elements before each."""
+    return _scan(lengths, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    def sums(a: Column, first: Column) -> Column:
-        return F.aggregate(a, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
-    totals = F.transform(blocks, lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x))
-    firsts = sums(totals, F.lit(0).cast("long"))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("a"), F.slice(firsts, 1, F.size(blocks)).alias("f")), lambda z: F.slice(sums(z["a"], z["f"]), F.lit(1), F.size(z["a"]))))
+def _places(v: Column) -> Column:
+    """The characters of a string by their place in ALPHABET, in pieces of bounded length; each is read once."""
+    pieces = F.regexp_extract_all(v, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return F.transform(pieces, lambda p: F.transform(F.split(p, ""), lambda c: F.instr(F.lit(ALPHABET), c)))
 
 
 def _matches(df: DataFrame, text: str, name: str, pattern: str, group: int, least: int) -> DataFrame:
@@ -70,10 +82,9 @@ def _matches(df: DataFrame, text: str, name: str, pattern: str, group: int, leas
 
 def _steps(strings: DataFrame, column: str) -> dict[tuple[int, int], int]:
     """How often each pair of neighbours (0: the start) occurs in the strings; characters by their place in ALPHABET."""
-    s = F.col(column)
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.struct(F.when(i > 1, place(i - 1)).otherwise(0).alias("a"), place(i).alias("b")))
-    rows = strings.where(F.char_length(s) > 0).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").count().collect()
+    placed = strings.where(F.char_length(column) > 0).select(F.flatten(_places(F.col(column))).alias("to"))
+    placed = placed.withColumn("of", F.concat(F.array(F.lit(0)), F.slice("to", F.lit(1), F.size("to") - 1)))
+    rows = placed.select(F.explode(F.arrays_zip(F.col("of").alias("a"), F.col("to").alias("b"))).alias("p")).groupBy("p.a", "p.b").count().collect()
     return {(r[0], r[1]): r[2] for r in rows}
 
 
@@ -112,18 +123,25 @@ def scan(docs: DataFrame, model: list[float] | None = None, ratio: float = RATIO
         df = _matches(df, "text", name, pattern, group, least)
     df = _matches(df, "text", "run", CANDIDATE, 0, 0).drop("text")
 
-    def place(v: Column, i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(v, i, F.lit(1)))
-
     def likely(v: Column) -> Column:
-        step = lambda i: F.element_at(table, (F.when(i > 1, place(v, i - 1)).otherwise(0) * n + place(v, i) + 1).cast("int"))
-        return F.aggregate(F.sequence(F.lit(1), F.char_length(v)), F.lit(0.0), lambda s, i: s + step(i)) / F.char_length(v) > ratio
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+        step = lambda acc, x: F.struct((acc["sum"] + F.element_at(table, acc["at"] * n + x + 1)).alias("sum"), x.alias("at"))
+        total = F.aggregate(_places(v), start, lambda acc, piece: F.aggregate(piece, acc, step), lambda acc: acc["sum"])
+        return total / F.char_length(v) > ratio
 
     spans = lambda name, k: F.transform(name, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
     df = df.withColumn("__base", F.concat(*(spans(x[0], k) for k, x in enumerate(BASE))))
-    more = F.filter(spans("run", 3), lambda r: ~F.exists("__base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-    df = df.withColumn("run", F.filter("run", lambda r: likely(r["v"])))
-    return df.withColumn("found", F.sort_array(F.concat("__base", more))).select("doc_id", "found")
+    df = df.withColumn("__more", spans(F.filter("run", lambda r: likely(r["v"])), 3))
+    df = df.withColumn("__all", F.sort_array(F.concat("__base", "__more")))
+    # a run touches a base span if one before it ends behind its start, or one behind it starts before its end
+    far = F.lit((1 << 63) - 1)
+    ends = _scan(F.transform("__all", lambda x: F.when(x["k"] < 3, x["e"]).otherwise(F.lit(-1).cast("long"))), F.lit(-1).cast("long"), F.greatest)
+    starts = F.reverse(_scan(F.transform(F.reverse("__all"), lambda x: F.when(x["k"] < 3, x["s"]).otherwise(far)), far, F.least))
+    mixed = (F.size("__base") > 0) & (F.size("__more") > 0)
+    # one array of all three: what a lambda refers to may be made again for each element
+    zipped = F.arrays_zip(F.col("__all").alias("x"), ends.alias("before"), starts.alias("after"))
+    alone = F.filter(zipped, lambda z: (z["x"]["k"] < 3) | ((z["before"] <= z["x"]["s"]) & (z["after"] >= z["x"]["e"])))
+    return df.select("doc_id", F.when(mixed, F.transform(alone, lambda z: z["x"])).otherwise(F.col("__all")).alias("found"))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,46 @@ def test_empty_and_plan(spark):
     assert secrets.report(secrets.scan(docs.limit(0))).count() == 0
     plan = secrets.report(secrets.scan(docs))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_markov(text, model, ratio=secrets.RATIO):
+    """Spans of runs that score above the ratio and touch no base span, by plain loops."""
+    n, spans = len(secrets.ALPHABET) + 1, [(m.start(), m.end()) for _, p, g, least in RULES for m in p.finditer(text) if len(m[g]) >= least]
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        at, total = 0, 0.0
+        for c in m[0]:
+            here = secrets.ALPHABET.index(c) + 1
+            total, at = total + round(model[at * n + here], 6), here
+        if total / len(m[0]) > ratio and not any(s < m.end() and m.start() < e for s, e in spans):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_markov_by_brute_force(spark):
+    """Every span of the models, in texts with many runs among and in base spans."""
+    docs = spark.createDataFrame([(i, prose(400, i)) for i in range(60)], "doc_id long, text string")
+    model = secrets.train(docs)
+    rng, texts = random.Random(21), []
+    key = lambda n: "".join(rng.choices(secrets.ALPHABET, k=n))
+    for i in range(60):
+        parts = [rng.choice([key(rng.randint(15, 60)), prose(3, i), "token=" + key(30) + "." + key(30), "AKIA" + key(20).upper(), f"{rng.getrandbits(80):020x}", key(24) + ".", "é"]) for _ in range(rng.choice([3, 40, 300]))]
+        texts.append(rng.choice([" ", "\n", ". "]).join(parts))
+    texts += [key(secrets._PIECE + 1), key(3 * secrets._PIECE), ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("markov")] for r in secrets.report(secrets.scan(rows, model)).collect()}
+    wanted = {i: brute_markov(t, model) for i, t in enumerate(texts)}
+    assert got == wanted and sum(map(len, wanted.values())) > 500
+
+
+def test_long_runs(spark):
+    """A run of 5 MB, and many runs beside many base spans, in seconds."""
+    rng = random.Random(1)
+    long = "".join(rng.choices(secrets.ALPHABET[:62], k=5_000_000))
+    many = " ".join(f"{rng.getrandbits(100):025X} {rng.getrandbits(64):016x}" for _ in range(30_000))
+    docs = spark.createDataFrame([(1, long), (2, many)], "doc_id long, text string")
+    model = secrets.train(spark.createDataFrame([(i, prose(400, i)) for i in range(20)], "doc_id long, text string"))
+    start = time.time()
+    got = {r.doc_id: (r.n_hex, r.spans.count("markov")) for r in secrets.report(secrets.scan(docs, model)).collect()}
+    assert got[1] == (0, 1) and got[2][0] >= 30_000 and got[2][1] > 20_000
+    assert time.time() - start < 60

@@ -3,8 +3,13 @@
 Decoding walks the chain of image directories of a file (either byte order), joins strips or tiles, undoes the
 horizontal predictor and gives one page for each directory.  `pages` turns a binary column into one row per page.
 
-Nulls and ties: a null file has no pages; a file that is not a TIFF, or is cut short, gives one row with page -1 and
-the error; repeated rows stay rows.  An empty table gives an empty table.
+`text_images` stores texts as files whose codec, predictor, layout, byte order and number of pages follow from a hash of
+the text, so equal texts give equal files and a corpus uses every way to store a page.
+
+Nulls and ties: a null file has no pages; a file that is not a TIFF, or whose chain of directories breaks off, gives a row
+with page -1 and the error, a page that can't be decoded one with its number and the error, and the pages behind it are
+still read.  Repeated rows stay rows.  A very long text is one file of several pages, held in memory as a whole.  An empty
+table gives an empty table.  Kept columns whose names clash with the new ones are given back as k_<name>.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import base
@@ -132,8 +138,13 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: What a damaged file can raise.
+_DAMAGE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error)
+#: Bytes that a page may have, and how many times its stored bytes; a header that asks for more is damaged.
+MOST_BYTES = 1 << 30
+
 _DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
-_ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: packbits_encode}
+_ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 1), OLD_DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: packbits_encode}
 
 
 # ---- reading
@@ -170,24 +181,38 @@ def image(data: bytes, tags: dict) -> np.ndarray:
     one = lambda tag, other: tags.get(tag, [other])[0]
     width, height, samples, planar = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(PLANAR, 1)
     bits = tags.get(BITS, [1])
-    if len(set(bits)) > 1 or bits[0] not in (8, 16, 32):
+    if len(set(bits)) > 1 or bits[0] not in (1, 2, 4, 8, 16, 32):
         raise ValueError(f"samples of {bits} bits")
+    if not all(isinstance(x, int) and x > 0 for x in (width, height, samples)) or width * height * samples * max(bits[0], 8) // 8 > MOST_BYTES:
+        raise ValueError(f"a page of {height} by {width} by {samples} samples")
     if one(COMPRESSION, 1) not in _DECODERS:
         raise ValueError(f"compression {one(COMPRESSION, 1)}")
-    kind = np.dtype(f"u{bits[0] // 8}").newbyteorder(tags["order"])
+    packed = bits[0] < 8
+    kind = np.dtype(f"u{max(bits[0], 8) // 8}").newbyteorder(tags["order"])
     decode, predictor = _DECODERS[one(COMPRESSION, 1)], one(PREDICTOR, 1)
     tiled = TILE_AT in tags
     w, h = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(ROWS, height), height))
+    if not all(isinstance(x, int) and x > 0 for x in (w, h)) or w * h > MOST_BYTES:
+        raise ValueError(f"strips or tiles of {h} by {w}")
     at, sizes = (tags[TILE_AT], tags[TILE_BYTES]) if tiled else (tags[STRIP_AT], tags[STRIP_BYTES])
     deep = samples if planar == 1 else 1
     across, down = -(-width // w), -(-height // h)
+    if len(at) < across * down * (samples // deep):
+        raise ValueError("strips or tiles are missing")
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k, (start, size) in enumerate(zip(at, sizes)):
         plane, cell = divmod(k, across * down)
+        if plane * deep >= samples:
+            break
         y, x = cell // across * h, cell % across * w
         rows = h if tiled else min(h, height - y)
         raw = decode(data[start : start + size])
-        part = np.frombuffer(raw, kind, rows * w * deep).reshape(rows, w, deep).astype(out.dtype)
+        if packed:  # rows begin at whole bytes, the first sample in the upper bits
+            a_row = -(-w * deep * bits[0] // 8)
+            flat = np.unpackbits(np.frombuffer(raw, np.uint8, rows * a_row).reshape(rows, a_row), axis=1)[:, : w * deep * bits[0]]
+            part = flat.reshape(rows, w, deep, bits[0]) @ (1 << np.arange(bits[0])[::-1]).astype(np.uint8)
+        else:
+            part = np.frombuffer(raw, kind, rows * w * deep).reshape(rows, w, deep).astype(out.dtype)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=out.dtype)
         elif predictor != 1:
@@ -250,27 +275,55 @@ def encode(arrays: list[np.ndarray], compression: int = DEFLATE, predictor: int
 # ---- columns
 
 
+def _pages(data: bytes) -> Iterator[tuple[int, np.ndarray | None, str | None]]:
+    """(number, samples, error) of each page; number -1 where the walk ends in an error."""
+    walk, k = directories(data), 0
+    while True:
+        try:
+            tags = next(walk, None)
+        except _DAMAGE as e:
+            yield -1, None, str(e) or type(e).__name__
+            return
+        if tags is None:
+            return
+        try:
+            yield k, image(data, tags), None
+        except _DAMAGE as e:
+            yield k, None, str(e) or type(e).__name__
+        k += 1
+
+
 def pages(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The kept columns and one row for each page of the files in a binary column: page, height, width, samples, bits,
     data (the samples, row by row, little-endian), error."""
     new = "page int, height int, width int, samples int, bits int, data binary, error string"
-    schema = T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL(new).fields])
+    added = T.StructType.fromDDL(new).fields
+    taken = {f.name for f in added}
+    mine = df.select(*(df[c].alias(f"k_{c}" if c.lower() in taken else c) for c in keep), df[column].alias("__file"))
+    schema = T.StructType([*mine.schema.fields[:-1], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = [pa.int32()] * 5 + [pa.binary(), pa.string()]
         for b in batches:
+            rows, at, held = [], [], 0
+
+            def batch() -> pa.RecordBatch:
+                kept = [b.column(j).take(pa.array(at)) for j in range(len(keep))]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(zip(*rows), arrow))], schema.names)  # noqa: B023
+
             for i, value in enumerate(b.column(len(keep))):
-                rows, data = [], value.as_py()
-                try:
-                    for k, a in enumerate(decode(data) if data is not None else ()):
-                        rows.append((k, *a.shape, 8 * a.dtype.itemsize, a.astype(a.dtype.newbyteorder("<")).tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((-1, None, None, None, None, None, str(e) or type(e).__name__))
-                if rows:
-                    mine = [b.column(j).take(pa.array([i] * len(rows))) for j in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*mine, *(pa.array(c, t) for c, t in zip(zip(*rows), arrow))], schema.names)
+                data = value.as_py()
+                for k, a, error in _pages(data) if data is not None else ():
+                    rows.append((k, *((None,) * 5 if a is None else (*a.shape, 8 * a.dtype.itemsize, a.astype(a.dtype.newbyteorder("<")).tobytes())), error))
+                    at.append(i)
+                    held += 0 if a is None else a.nbytes
+                    if held >= 8 << 20:
+                        yield batch()
+                        rows, at, held = [], [], 0
+            if rows:
+                yield batch()
 
-    return base.batched(df.select(*keep, column)).mapInArrow(run, schema)
+    return base.batched(mine).mapInArrow(run, schema)
 
 
 def text_payload(text: str, multiple: int = 64) -> bytes:
@@ -279,17 +332,55 @@ def text_payload(text: str, multiple: int = 64) -> bytes:
     return data + bytes(max(1, -(-len(data) // multiple)) * multiple - len(data))
 
 
-def feature(a: np.ndarray) -> str:
-    """Sixteen hex digits: which of 64 columns are above the mean of all; then the mean and the spread, in hundredths."""
-    sums = a.reshape(-1, a.shape[1]).sum(axis=0, dtype=np.int64)
-    above = np.packbits(sums * len(sums) > sums.sum())
-    flat = a.astype(np.int64)
-    n, s, q = flat.size, int(flat.sum()), int((flat * flat).sum())
-    return f"{above.tobytes().hex()}:{100 * s // n}:{100 * (n * q - s * s) // (n * n)}"
+class Feature:
+    """Sixteen hex digits: which of 64 columns are above the mean of all; then the mean and the spread, in hundredths.  It
+    is gathered page by page."""
+
+    def __init__(self) -> None:
+        self.sums, self.n, self.squares = np.zeros(64, np.int64), 0, 0
+
+    def add(self, a: np.ndarray) -> None:
+        self.sums += a.sum(axis=0, dtype=np.int64)
+        self.n += a.size
+        self.squares += int((a.astype(np.int64) ** 2).sum())
+
+    def text(self) -> str:
+        above = np.packbits(self.sums * len(self.sums) > self.sums.sum())
+        n, s = self.n, int(self.sums.sum())
+        return f"{above.tobytes().hex()}:{100 * s // n}:{100 * (n * self.squares - s * s) // (n * n)}"
 
 
-def text_images(docs: DataFrame, text: str = "text", compression: int = DEFLATE, predictor: int = 1) -> DataFrame:
-    """doc_id, n_bytes and media: each text as a TIFF of one page, 64 samples of 8 bits a row."""
+def feature(a: np.ndarray) -> str:
+    """The feature of one page of 64 columns."""
+    out = Feature()
+    out.add(a)
+    return out.text()
+
+
+#: Ways to store a text: codec, predictor, tile (or strips of so many rows), byte order.  LZW and PackBits are coded in
+#: Python, so texts beyond `SLOW_BYTES` take deflate in their place.
+WAYS = tuple((c, p, t, r, o) for c in (DEFLATE, NONE, PACKBITS, LZW, DEFLATE, OLD_DEFLATE) for p in (1, 2) for t, r in ((None, 16), ((64, 16), 16), (None, 4096)) for o in "<>")
+SLOW_BYTES = 4096
+#: Rows of 64 samples on a page.
+PAGE_ROWS = 8192
+
+
+def text_image(text: str, compression: int | None = None, predictor: int = 1) -> bytes:
+    """A text's payload as a TIFF, 64 samples of 8 bits a row, in pages of PAGE_ROWS rows (short texts: of half of theirs)."""
+    rows = np.frombuffer(text_payload(text), np.uint8).reshape(-1, 64)
+    if compression is not None:
+        return encode([rows], compression, predictor)
+    h = zlib.crc32(rows.tobytes())
+    codec, predictor, tile, strip, order = WAYS[h % len(WAYS)]
+    if codec in (LZW, PACKBITS) and rows.size > SLOW_BYTES:
+        codec = DEFLATE
+    many = PAGE_ROWS if len(rows) > PAGE_ROWS else max(1, -(-len(rows) // (1 + h // len(WAYS) % 2)))
+    return encode([rows[i : i + many] for i in range(0, len(rows), many)], codec, predictor, strip, tile, order)
+
+
+def text_images(docs: DataFrame, text: str = "text", compression: int | None = None, predictor: int = 1) -> DataFrame:
+    """doc_id, n_bytes and media: each text as a TIFF, stored in a way that its hash says or, where a compression is given,
+    by that on one page."""
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_bytes long, media binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +388,8 @@ def text_images(docs: DataFrame, text: str = "text", compression: int = DEFLATE,
             at, held, sizes, media = 0, 0, [], []
             for i, t in enumerate(b.column(1)):
                 t = t.as_py()
-                payload = text_payload(t)
                 sizes.append(len(t.encode()))
-                media.append(encode([np.frombuffer(payload, np.uint8).reshape(-1, 64)], compression, predictor))
+                media.append(text_image(t, compression, predictor))
                 held += len(media[-1])
                 if held >= 8 << 20 or i == b.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(media)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -309,21 +399,43 @@ def text_images(docs: DataFrame, text: str = "text", compression: int = DEFLATE,
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """From doc_id, n_bytes, media: what reading the stored bytes back gives, in digests, and a feature."""
+    """From doc_id, n_bytes, media: what reading the pages of the stored bytes back gives, in digests, and a feature.  The
+    pages of a file come one after the other, and their rows are read as they come."""
     new = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     schema = T.StructType([media.schema["doc_id"], *T.StructType.fromDDL(new).fields])
+    stored = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    read = pages(stored, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        kind, one = None, None
+
+        def row() -> pa.RecordBatch:
+            doc_id, n, media_bytes, media_sha, size, sha, tail, found = one
+            values = (doc_id, n, size, sha.hexdigest(), zlib.crc32(tail), media_bytes, media_sha, found.text())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (kind, *ARROW))], schema.names)
+
+        ARROW = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        out: list[pa.RecordBatch] = []
         for b in batches:
-            rows = []
-            for n, stored in zip(b.column(1).to_pylist(), b.column(2)):
-                stored = stored.as_py()
-                (page,) = decode(stored)
-                payload = page.tobytes()
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(page[:, :, 0])))
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64() if i in (0, 1, 3, 4) else pa.string()) for i, c in enumerate(cols))], schema.names)
-
-    return base.batched(media).mapInArrow(run, schema)
+            kind = b.schema.field(0).type
+            for doc_id, n, media_bytes, media_sha, page, data, error in zip(*(c.to_pylist() for c in b.columns)):
+                if error is not None:
+                    raise ValueError(f"a stored text can't be read back: {error}")
+                if page == 0:
+                    if one is not None:
+                        out.append(row())
+                    one = [doc_id, n, media_bytes, media_sha, 0, hashlib.sha256(), b"", Feature()]
+                one[4] += len(data)
+                one[5].update(data)
+                one[6] = data[-64:]
+                one[7].add(np.frombuffer(data, np.uint8).reshape(-1, 64))
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                out = []
+        if one is not None:
+            yield row()
+
+    names = ("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "data", "error")
+    return base.batched(read.select(*names)).mapInArrow(run, schema)

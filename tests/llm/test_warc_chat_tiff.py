@@ -181,3 +181,60 @@ def test_texts(spark):
         r = rows[None if i == 2 else i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert tiff.digests(tiff.text_images(docs.limit(0))).count() == 0
+
+
+def test_every_way_to_store(spark):
+    """Each codec, predictor, layout and byte order is used, over one page and several, and equal texts give equal files."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abc é\n", k=rng.choice([0, 10, 200, 3000]))) for _ in range(900)] + ["x" * (64 * tiff.PAGE_ROWS + 5)]
+    files = [tiff.text_image(t) for t in texts]
+    ways, counts = set(), set()
+    for t, f in zip(texts, files):
+        tags = list(tiff.directories(f))
+        ways.add((f[:2], tags[0][tiff.COMPRESSION][0], tags[0][tiff.PREDICTOR][0], tiff.TILE_AT in tags[0]))
+        counts.add(len(tags))
+        assert b"".join(p.tobytes() for p in tiff.decode(f)) == tiff.text_payload(t)
+    assert len(ways) == 2 * 5 * 2 * 2 and counts >= {1, 2} and files[0] == tiff.text_image(texts[0])
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.PACKBITS])
+def test_packed_samples(bits, compression):
+    """Samples of less than a byte, rows at whole bytes."""
+    rng = np.random.default_rng(bits)
+    values = rng.integers(0, 1 << bits, (9, 13)).astype(np.uint8)
+    rows = np.packbits((values[:, :, None] >> np.arange(bits)[::-1] & 1).reshape(9, -1), axis=1)
+    made = bytearray(tiff.encode([rows], compression, rows=4))
+    at = int.from_bytes(made[4:8], "little")
+    for i in range(int.from_bytes(made[at : at + 2], "little")):
+        tag = int.from_bytes(made[at + 2 + 12 * i : at + 4 + 12 * i], "little")
+        if tag in (tiff.WIDTH, tiff.BITS):
+            made[at + 10 + 12 * i : at + 12 + 12 * i] = (13 if tag == tiff.WIDTH else bits).to_bytes(2, "little")
+    (back,) = tiff.decode(bytes(made))
+    assert (back[:, :, 0] == values).all()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(0, 3), st.lists(st.tuples(st.integers(0, 10_000), st.integers(0, 255)), min_size=1, max_size=4))
+def test_damaged_headers(way, changes):
+    """Whatever the bytes say, a file gives rows, some with an error, and never raises."""
+    arrays = [np.arange(300, dtype=np.uint8).reshape(20, 15), np.ones((5, 5), np.uint8)]
+    data = bytearray(tiff.encode(arrays, (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS)[way], 1 + way % 2, 8, (16, 16) if way > 1 else None, "<>"[way % 2]))
+    for at, value in changes:
+        data[at % len(data)] = value
+    for number, page, error in tiff._pages(bytes(data)):
+        assert (page is None) == (error is not None) and number >= -1
+
+
+def test_pages_behind_a_bad_one(spark):
+    arrays = [np.full((4, 4), i, np.uint8) for i in range(3)]
+    data = bytearray(tiff.encode(arrays))
+    first = int.from_bytes(data[4:8], "little")
+    for field in (tiff.WIDTH, tiff.ROWS, tiff.COMPRESSION):
+        bad = bytearray(data)
+        for i in range(int.from_bytes(data[first : first + 2], "little")):
+            if int.from_bytes(data[first + 2 + 12 * i : first + 4 + 12 * i], "little") == field:
+                bad[first + 10 + 12 * i : first + 14 + 12 * i] = bytes(4)
+        rows = spark.createDataFrame([(1, 5, bad)], "id long, page int, file binary")
+        got = sorted((r.k_page, r.page, r.error is None) for r in tiff.pages(rows, "file", ("id", "page")).collect())
+        assert got == [(5, 0, False), (5, 1, True), (5, 2, True)]

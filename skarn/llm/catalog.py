@@ -19,7 +19,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reading back the formatted conversations gives, for every one of them and conversation -1."""
     turns = chat.with_probe(base.table(spark, sf_dir, "conversations"))
-    return chat.read_conversations(chat.format_conversations(turns))
+    return chat.read_conversations(base.written(chat.format_conversations(turns), "conversations", "zstd"))
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@ of texts and of the two markers.  Expressions know literals, names, members of m
 or call anything else, and lists are read once, so a conversation of any length streams through.
 
 `format_conversations` renders each conversation's rows by turn into parts of bounded size with the spans (code points
-in the part) under the loss mask; `read_conversations` takes them apart again.  Control strings inside texts are broken
+in the part) under the loss mask and whether they are the last one; `read_conversations` takes them apart again, however
+they have been stored and read since.  Control strings inside texts are broken
 by an escape that `unescape` takes back exactly; a text's end that a control string could begin with is broken as well.
 
 Nulls and ties: null roles and texts are empty; a null turn comes first; rows of equal turn come by role, then text;
-repeated rows stay turns; all rows of null conv_id are one conversation.  An empty table gives no rows.  Extra columns
-are not read.
+repeated rows stay turns; all rows of null conv_id are one conversation.  A conversation's digests are sequential, so all
+its turns stream through one task, in memory bounded by a part and the longest text.  An empty table gives no rows.  Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -469,12 +471,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def format_conversations(turns: DataFrame, template: str = TEMPLATE, part_chars: int = PART_CHARS) -> DataFrame:
-    """conv_id, part, formatted, spans (array of s, e) of each conversation; a partition has its parts in order."""
+    """conv_id, part, last, formatted, spans (array of s, e) of each conversation."""
     compile_template(template)  # errors show on the driver
     slim = turns.select("conv_id", "turn", *(F.coalesce(turns[c].cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     dealt = slim.repartition(base.shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = T.StructType([turns.schema["conv_id"], *T.StructType.fromDDL("part int, formatted string, spans array<struct<s:int,e:int>>").fields])
-    arrow = [pa.int32(), pa.string(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
+    schema = T.StructType([turns.schema["conv_id"], *T.StructType.fromDDL("part int, last boolean, formatted string, spans array<struct<s:int,e:int>>").fields])
+    arrow = [pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render, rows, held, kind = compile_template(template), [], 0, None
@@ -490,9 +492,12 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, part_chars:
 
         for conv, group in groupby(_rows(known(batches)), key=lambda r: r[0]):
             messages = ({"role": role, "text": text} for _, role, text in group)
-            for i, (text, spans) in enumerate(parts(render({"messages": messages}), part_chars)):
-                rows.append((conv, i, text, spans))
-                held += len(text)
+            made = parts(render({"messages": messages}), part_chars)
+            i, following = 0, next(made, None)
+            while following is not None:
+                (text, spans), following = following, next(made, None)
+                rows.append((conv, i, following is None, text, spans))
+                i, held = i + 1, held + len(text)
                 if held >= 4 * part_chars or len(rows) >= 5000:
                     yield batch()
                     rows, held = [], 0
@@ -524,7 +529,8 @@ def turns_of(texts: Iterable[str]) -> Iterator[tuple[str, str]]:
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from the parts of whole partitions."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation.  Those of one part are
+    read where they are; only the parts of longer ones are dealt by conversation and put in order."""
     new = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     schema = T.StructType([formatted.schema["conv_id"], *T.StructType.fromDDL(new).fields])
 
@@ -567,7 +573,11 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         if rows:
             yield batch()
 
-    return base.batched(formatted.select("conv_id", "formatted", "spans")).mapInArrow(run, schema)
+    whole = (F.col("part") == 0) & F.col("last")
+    several = formatted.where(~whole).repartition(base.shuffle_partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part")
+    each = (x.select("conv_id", "formatted", "spans") for x in (formatted.where(whole), several))
+    one_part, more = (base.batched(x).mapInArrow(run, schema) for x in each)
+    return one_part.unionByName(more)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import base, tokens
 
-RUN = 1024
+RUN = 256
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, extra: int = 0) -> DataFrame:
@@ -66,12 +66,12 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def kept_at(histogram: DataFrame, limit: int) -> DataFrame:
-    """One row: the tokens kept and the documents cut when every document is cut at limit."""
-    over = F.col("n_tokens") > limit
-    return histogram.agg(
-        F.coalesce(F.sum(F.least("n_tokens", F.lit(limit)) * F.col("documents")), F.lit(0)).alias("tokens_kept"),
-        F.coalesce(F.sum(F.when(over, F.col("documents"))), F.lit(0)).alias("documents_cut"),
-    )
+    """One row: the tokens kept and the documents cut when every document is cut at limit, from the sums of the shortest
+    length above it (all tokens and none, where there is no such length)."""
+    above, first = F.col("n_tokens") > limit, F.struct("n_tokens", "documents_at_least", "tokens_at_least")
+    found = histogram.agg(F.min(F.when(above, first)).alias("a"), F.max("total_tokens").alias("t"))
+    kept = F.col("t") - F.coalesce(F.col("a.tokens_at_least") - F.col("a.documents_at_least") * limit, F.lit(0))
+    return found.select(F.coalesce(kept, F.lit(0)).alias("tokens_kept"), F.coalesce("a.documents_at_least", F.lit(0)).alias("documents_cut"))
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:

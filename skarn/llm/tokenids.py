@@ -2,7 +2,8 @@
 
 Documents are dealt by ranges of doc_id; each task streams its range in order and rolls shards at a size.  A shard is
 written under a temporary name and moved to its own, which depends on its range and number only, so that a repeated
-attempt replaces equal bytes.  The manifest, a table, lists the shards that count.
+attempt replaces equal bytes.  The manifest, a table, lists the shards that count; what failed attempts have left is
+removed once it is written.
 
 Nulls and ties: a null text counts as empty (its ids are END alone); a null doc_id comes first; equal doc_ids are in
 order of their texts, repeated rows stay rows.  An empty table gives no shards.  Extra columns are not read.
@@ -43,21 +44,27 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = tokens.VOCABULA
             files.move(held, name)
             rows.append((part, number, name, len(out.docs), int(sum(out.counts)), out.bytes))
 
-        for b in batches:
-            for i, found, here in zip(b.column(0).to_pylist(), encode(b.column(1)), b.column(2).to_pylist()):
-                if out is not None and (here != part or out.bytes >= roll_bytes):
-                    finish()
-                    out, number = None, number + 1 if here == part else 0
-                if out is None:
-                    part, held = here, f".{uuid.uuid4().hex}.tmp"
-                    out = simple8b.Writer(files.create(held))
-                out.add(i, np.concatenate((found, last)))
-        if out is not None:
-            finish()
+        try:
+            for b in batches:
+                for i, found, here in zip(b.column(0).to_pylist(), encode(b.column(1)), b.column(2).to_pylist()):
+                    if out is not None and (here != part or out.bytes >= roll_bytes):
+                        finish()
+                        out, number = None, number + 1 if here == part else 0
+                    if out is None:
+                        part, held = here, f".{uuid.uuid4().hex}.tmp"
+                        out = simple8b.Writer(files.create(held))
+                    out.add(i, np.concatenate((found, last)))
+            if out is not None:
+                finish()
+        except BaseException:
+            files.drop(held)
+            raise
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "number", "name", "documents", "ids", "bytes"])
 
-    return base.written(base.batched(dealt.select("doc_id", "text", "__part")).mapInArrow(run, _MANIFEST), "manifest")
+    manifest = base.written(base.batched(dealt.select("doc_id", "text", "__part")).mapInArrow(run, _MANIFEST), "manifest")
+    base.remove(spark, folder, ".*.tmp")
+    return manifest
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:

@@ -6,9 +6,10 @@ parameter, so equal input gives equal files.  A file is written under a temporar
 whole; the manifest, a table written last, names the files that count, with their sizes.
 
 Of pages with equal payloads of `least_bytes` bytes or more, the one with the smallest page_id is a response, the others
-are revisits that refer to it and hold no payload.  Which ones those are is decided on digests alone: a page that is to
-be a revisit gets a small row beside it, and both meet in the sort, so payloads are shuffled once.  A payload that a
-third of all pages share is counted in partial sums and needs no join.
+are revisits that refer to it (by record id, URI and date) and hold no payload.  Which ones those are is decided on digests
+alone: a page whose payload occurs again gets a small row beside it, and both meet in the sort, so payloads are shuffled
+once.  Those rows come from a join on the digest; the few digests that many pages share are broadcast to it, so a payload
+of a third of all pages is no burden.  What failed attempts have left is removed once the manifest is written.
 
 Nulls and ties: a null html is an empty payload; a null url is empty; a null page_id sorts first, is never what others
 refer to unless all are null, and comes back null.  Of rows with equal page_id and payload the first (by url) is the
@@ -46,8 +47,9 @@ def record_id(page_id: int | None, url: str, sha1: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}|{sha1}|{url}')}>"
 
 
-def record(kind: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record, not compressed.  A revisit's block is the HTTP header alone; length and digest are of the payload."""
+def record(kind: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str = DATE, refers_to_url: str = "") -> bytes:
+    """One record, not compressed.  A revisit's block is the HTTP header alone; length and digest are of the payload, which
+    is that of the response to refers_to_url on page refers_to."""
     sha1 = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
@@ -64,6 +66,9 @@ def record(kind: str, page_id: int | None, url: str, payload: bytes, refers_to:
     }
     if kind == "revisit":
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        head["WARC-Refers-To"] = record_id(refers_to, refers_to_url, sha1)
+        head["WARC-Refers-To-Target-URI"] = refers_to_url.translate(_BREAKS)
+        head["WARC-Refers-To-Date"] = date
         head["X-Refers-To-Page"] = "" if refers_to is None else refers_to
     head["Content-Length"] = len(block)
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
@@ -98,23 +103,32 @@ def records(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], byte
 
 
 def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """sha, n (bytes) and first, the page that answers, of each payload that occurs more than once."""
+    """sha, first and first_url, the page that answers, and how many pages have it, of each payload that occurs more than
+    once."""
     payload = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
-    slim = pages.select(pages["page_id"].cast("long").alias("page_id"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"))
-    return slim.where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1")
+    number = pages["page_id"].cast("long")
+    page = F.struct(number.isNull().alias("null"), number.alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("url"))
+    slim = pages.select(page.alias("p"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n")).where(F.col("n") >= least_bytes)
+    found = slim.groupBy("sha").agg(F.min("p").alias("p"), F.count("*").alias("pages")).where("pages > 1")
+    return found.select("sha", F.col("p.page_id").alias("first"), F.col("p.url").alias("first_url"), "pages")
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
     """Writes the archives into folder; gives their manifest (part, number, name, records, bytes), a written table."""
+    with base.scope(pages.sparkSession):
+        return _write(pages, folder, least_bytes, roll_bytes, date)
+
+
+def _write(pages: DataFrame, folder: str, least_bytes: int, roll_bytes: int, date: str) -> DataFrame:
     spark = pages.sparkSession
     payload = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
     mine = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("url"), payload.alias("html"))
-    slim = mine.select("page_id", F.sha1("html").alias("sha"), F.octet_length("html").alias("n"))
-    same = base.written(revisits(pages, least_bytes).select("sha", "n", "first"), "payloads")
+    slim = base.written(mine.select("page_id", F.sha1("html").alias("sha")), "digests")
+    same = base.written(revisits(pages, least_bytes), "payloads")
     # a row for each page whose payload occurs again; it sorts before the page
-    marks = slim.join(same, ["sha", "n"]).groupBy("page_id", "sha").agg(F.min("first").alias("first"))
-    rows = marks.select("page_id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("html"), "sha", "first").unionByName(
-        mine.select("page_id", "url", "html", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("first"))
+    marks = base.looked_up(slim, same, "sha", "pages", slim.count()).distinct()
+    rows = marks.select("page_id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("html"), "sha", "first", "first_url").unionByName(
+        mine.select("page_id", "url", "html", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("string").alias("first_url"))
     )
     dealt = base.ranges(rows, "page_id", base.shuffle_partitions(spark), of=mine).sortWithinPartitions("__part", "page_id", F.col("html").isNotNull(), "url", "html")
 
@@ -122,7 +136,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int =
         files = base.Files(folder)
         out, held, made, part, number, n, size = None, "", [], -1, 0, 0, 0
         page: tuple = ()
-        marked: dict[str, int | None] = {}  # of one page_id: its payloads that occur again
+        marked: dict[str, tuple[int | None, str]] = {}  # of one page_id: its payloads that occur again
         answered: set[str] = set()
 
         def finish():
@@ -131,34 +145,40 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll_bytes: int =
             files.move(held, name)
             made.append((part, number, name, n, size))
 
-        for b in batches:
-            for page_id, url, html, sha, first, here in zip(*(c.to_pylist() for c in b.columns)):
-                if page != (here, page_id):
-                    page, marked, answered = (here, page_id), {}, set()
-                if sha is not None:
-                    marked[sha] = first
-                    continue
-                key = hashlib.sha1(html).hexdigest()
-                kind = "response"
-                if key in marked:
-                    kind = "revisit" if marked[key] != page_id or key in answered else "response"
-                    answered.add(key)
-                if out is not None and (here != part or size >= roll_bytes):
-                    finish()
-                    out, number = None, number + 1 if here == part else 0
-                if out is None:
-                    part, held, n, size = here, f".{uuid.uuid4().hex}.tmp", 0, 0
-                    out = files.create(held)
-                data = member(record(kind, page_id, url, html, marked.get(key), date))
-                out.write(data)
-                n, size = n + 1, size + len(data)
-        if out is not None:
-            finish()
+        try:
+            for b in batches:
+                for page_id, url, html, sha, first, first_url, here in zip(*(c.to_pylist() for c in b.columns)):
+                    if page != (here, page_id):
+                        page, marked, answered = (here, page_id), {}, set()
+                    if sha is not None:
+                        marked[sha] = first, first_url
+                        continue
+                    key = hashlib.sha1(html).hexdigest()
+                    kind, answer = "response", marked.get(key, (None, ""))
+                    if key in marked:
+                        kind = "revisit" if answer[0] != page_id or key in answered else "response"
+                        answered.add(key)
+                    if out is not None and (here != part or size >= roll_bytes):
+                        finish()
+                        out, number = None, number + 1 if here == part else 0
+                    if out is None:
+                        part, held, n, size = here, f".{uuid.uuid4().hex}.tmp", 0, 0
+                        out = files.create(held)
+                    data = member(record(kind, page_id, url, html, answer[0], date, answer[1]))
+                    out.write(data)
+                    n, size = n + 1, size + len(data)
+            if out is not None:
+                finish()
+        except BaseException:
+            files.drop(held)
+            raise
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "number", "name", "records", "bytes"])
 
-    dealt = dealt.select("page_id", "url", "html", "sha", "first", "__part")
-    return base.written(base.batched(dealt).mapInArrow(run, _MANIFEST), "manifest")
+    dealt = dealt.select("page_id", "url", "html", "sha", "first", "first_url", "__part")
+    manifest = base.written(base.batched(dealt).mapInArrow(run, _MANIFEST), "manifest", outlives=True)
+    base.remove(spark, folder, ".*.tmp")
+    return manifest
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:

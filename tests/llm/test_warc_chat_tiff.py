@@ -238,3 +238,68 @@ def test_pages_behind_a_bad_one(spark):
         rows = spark.createDataFrame([(1, 5, bad)], "id long, page int, file binary")
         got = sorted((r.k_page, r.page, r.error is None) for r in tiff.pages(rows, "file", ("id", "page")).collect())
         assert got == [(5, 0, False), (5, 1, True), (5, 2, True)]
+
+
+def test_revisits_can_be_resolved(spark):
+    """A revisit names the record, URI and date of its response."""
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, sha string")
+    folder = base.work_path(spark, "t")
+    names = [r.name for r in warc.write(pages, folder).collect()]
+    heads = [h for n in names for h, _ in warc.records(io.BytesIO(base.Files(folder).open(n).read()))]
+    by = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 6
+    for h in revisits:
+        at = by[h["WARC-Refers-To"]]
+        assert (at["WARC-Target-URI"], at["WARC-Date"], at["WARC-Payload-Digest"], at["X-Page-ID"]) == (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"], h["WARC-Payload-Digest"], h["X-Refers-To-Page"])
+
+
+def test_common_payload(spark):
+    """A payload that most pages share is looked up by broadcast, to the same result."""
+    pages = spark.createDataFrame([(i, f"u{i}", "" if i % 3 else f"<p>{i % 50}", "x") for i in range(4000)], "page_id long, url string, html string, sha string")
+    got = warc.round_trip(pages)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == expected([tuple(r) for r in pages.collect()])
+
+
+def test_conversations_stored_in_any_order(spark):
+    """The parts of a conversation may be stored, mixed and read again."""
+    turns = spark.createDataFrame([(c, t, ["user", "assistant"][t % 2], f"{c} says {t} " * 20) for c in range(20) for t in range(c)], "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(turns, part_chars=300)
+    wanted = sorted(map(tuple, chat.read_conversations(chat.format_conversations(turns)).collect()))
+    mixed = base.written(made.repartition(7), "mixed").repartition(3)
+    assert sorted(map(tuple, chat.read_conversations(mixed).collect())) == wanted and len(wanted) == 19
+
+
+def test_files_elsewhere(tmp_path):
+    """A file system that doesn't replace files keeps what an earlier attempt has put there."""
+    from pyarrow import fs
+
+    class Kept(fs.LocalFileSystem):
+        def move(self, old, new):
+            if self.get_file_info(new).is_file:
+                raise FileExistsError(new)
+            super().move(old, new)
+
+    files = base.Files(f"file://{tmp_path}")
+    files.fs, files.root = Kept(), str(tmp_path)
+    for data in (b"one", b"one"):
+        with files.create(".t.tmp") as out:
+            out.write(data)
+        files.move(".t.tmp", "whole")
+    assert files.open("whole").read() == b"one" and not (tmp_path / ".t.tmp").exists()
+    files.drop("absent")
+
+
+def test_shared_folder(spark, tmp_path):
+    """Work folders go at the end of their scope, but for what outlives it."""
+    import os
+
+    here = lambda df: df.inputFiles()[0].removeprefix("file://")
+    with base.scope(spark):
+        with base.scope(spark):
+            one, two = base.written(spark.range(3), "one"), base.written(spark.range(4), "two", outlives=True)
+            paths = here(one), here(two)
+        assert not os.path.exists(paths[0]) and two.count() == 4
+    assert not os.path.exists(paths[1])
+    odd = spark.createDataFrame([(1,)], "__I int")
+    assert base.unused(odd, "__i", "__i", "x") == ["__i_", "__i__", "x"]

@@ -70,3 +70,30 @@ def test_run(spark, folder):
     path, _ = folder
     assert corpus_pipeline.run(spark, path).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows and clashing columns pass through all stages."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, __i int, __h int, __r int, __n int, __text string, __predicted int, `MIX KEY` int"
+    rows = [(i % 4, ["a b c d e f g", None, "", "other words stand here now"][i % 4], "en", None, 1, i % 2, 2, 3, 4, "t", 6, 7) for i in range(40)]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (base.table(spark, str(tmp_path), "documents"), base.table(spark, str(tmp_path), "documents").limit(0)):
+        first, columns = docs, docs.columns
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            docs = base.written(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == columns
+            if name == "near_duplicates":
+                assert sorted(r.doc_id for r in docs.collect()) == ([0, 1, 3] if first.count() else [])
+                assert {(r["__h"], r["__r"], r["__n"], r["__predicted"]) for r in docs.collect()} <= {(2, 3, 4, 6)}
+
+
+def test_run_leaves_no_stages(spark, folder):
+    """What run() has made on its way is gone when it returns."""
+    import os
+
+    path, _ = folder
+    out = corpus_pipeline.run(spark, path)
+    top = base.shared_dir(spark).removeprefix("file://") + f"/skarn/{spark.sparkContext.applicationId}"
+    assert out.count() > 100 and not [d for d in os.listdir(top) if d.startswith("stage-") and not d.startswith("stage-token_ids")]

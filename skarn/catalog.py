@@ -6,6 +6,7 @@ that end in _native run inside the JVM, _nodes over the node table, the others t
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -118,6 +119,13 @@ def path_multi_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("value").cast("double")).cast("bigint").alias("v"))
 
 
+def _nodes(spark: SparkSession, sf_dir: str) -> NodeTable:
+    """The customers' documents, shredded once to a written table that every join reads; without normalized paths."""
+    path = _folder(spark, "nodes")
+    shred(customers(spark, sf_dir), "doc", "c_custkey").drop("npath").write.parquet(path)
+    return NodeTable(spark.read.parquet(path), "c_custkey")
+
+
 @query(f"SELECT c_custkey, o_orderkey AS v {_JOIN}")
 def path_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(customers(spark, sf_dir), "c_custkey", "$..o_orderkey", "bigint", "v")
@@ -125,8 +133,7 @@ def path_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, o_orderkey AS v {_JOIN}")
 def path_descendant_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = NodeTable(shred(customers(spark, sf_dir), "doc", "c_custkey"), "c_custkey")
-    return nodes.select("$..o_orderkey").select("c_custkey", F.col("number").cast("bigint").alias("v"))
+    return _nodes(spark, sf_dir).select("$..o_orderkey").select("c_custkey", F.col("number").cast("bigint").alias("v"))
 
 
 @query("SELECT o_orderkey, '$[''items''][' || (r - 1) || '][''q'']' AS path FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey)")
@@ -170,8 +177,7 @@ def fn_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT c_custkey, o_orderkey {_JOIN} WHERE o_orderstatus = 'F' AND o_totalprice >= 100000")
 def filter_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter as semi-joins over the node table."""
-    nodes = NodeTable(shred(customers(spark, sf_dir), "doc", "c_custkey"), "c_custkey")
-    return nodes.select("$.orders[?@.o_orderstatus == 'F' && @.o_totalprice >= 100000].o_orderkey").select("c_custkey", F.col("number").cast("bigint").alias("o_orderkey"))
+    return _nodes(spark, sf_dir).select("$.orders[?@.o_orderstatus == 'F' && @.o_totalprice >= 100000].o_orderkey").select("c_custkey", F.col("number").cast("bigint").alias("o_orderkey"))
 
 
 _SPARSE = "(SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 5 END AS x, CASE WHEN o_orderkey % 2 > 0 THEN o_orderkey % 4 END AS y FROM orders)"
@@ -227,8 +233,8 @@ def accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'string' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'number', 2 * count(*) FROM customer UNION ALL SELECT 'array', count(*) FROM customer UNION ALL SELECT 'object', count(*) {_JOIN} UNION ALL SELECT 'string', 2 * count(*) {_JOIN} UNION ALL SELECT 'number', 2 * count(*) {_JOIN}) GROUP BY kind")
 def json_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = customers(spark, sf_dir).select(F.explode(J.json_select_values("doc", "$..*")).alias("v"))
-    return found.select(J.json_type("v").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    found = customers(spark, sf_dir).select(F.explode(J.json_select_types("doc", "$..*")).alias("kind"))
+    return found.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # ---- patches
@@ -424,12 +430,168 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.sum("n").alias("n"))
 
 
+def _cases(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few documents beside the tables, for what the tables don't have."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id int, {schema}")
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    """SQL of fixed rows with an id each."""
+    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(one, r))})" for i, r in enumerate(rows)) + f") t(id, {', '.join(names)})"
+
+
+#: Documents as bytes; what they print as, or what is wrong and at which byte.
+_STRINGS = [
+    (rb'"\ud83d\ude00\u0041"', '"\U0001f600A"', None),
+    (rb'"\ud83d"', None, "StringUnexpectedEof"),
+    (rb'"\ude00x"', None, "InvalidSurrogate"),
+    (rb'"\u12g4"', None, "InvalidUnicodeSequence"),
+    (b'"\xc3\xa9\xe2\x82\xac"', '"\u00e9\u20ac"', None),
+    (b'"\xc0\xaf"', None, "InvalidByteSequence"),
+    (b'"\xed\xa0\x80"', None, "InvalidByteSequence"),
+    (b"\xef\xbb\xbf1", "1", None),
+    (b'"a\nb"', None, "InvalidControlCharacter"),
+    (rb'"\b\f\n\r\t\"\\\/\u001f"', r'"\b\f\n\r\t\"\\/\u001f"', None),
+    (rb'"\q"', None, "UnknownEscapedCharacter"),
+]
+
+
+def string_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surrogate pairs, UTF-8, byte order marks, hex digits, control characters; printing of escapes."""
+    d = _cases(spark, [(bytearray(r[0]),) for r in _STRINGS], "doc binary").select("id", J.try_json_parse("doc").alias("r"))
+    return d.select("id", F.col("r.value").alias("value"), F.col("r.error.kind").alias("kind"))
+
+
+_POINTERS = [
+    ("", '{"":0,"a/b":1,"m~n":2,"c":[10,{"":true}]}', None),
+    ("/", "0", None),
+    ("/a~1b", "1", None),
+    ("/m~0n", "2", None),
+    ("/c/0", "10", None),
+    ("/c/1/", "true", None),
+    ("/c/2", None, None),
+    ("/none/x", None, None),
+    ("c", None, "InvalidPointerSyntax"),
+    ("/m~2n", None, "UnknownEscapedCharacter"),
+    ("/c/01", None, "InvalidIndex"),
+    ("/c/first", None, "InvalidIndex"),
+]
+
+
+def pointer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers to the root, to empty names, with escapes; what is wrong with others."""
+    d = _cases(spark, [(r[0],) for r in _POINTERS], "ptr string")
+    r = d.select("id", J.try_json_pointer(F.lit(_POINTERS[0][1]), F.col("ptr")).alias("r"))
+    return r.select("id", F.col("r.value").alias("value"), F.col("r.error.kind").alias("kind"))
+
+
+_SCALARS = [("true", "", True, None), ("false", "/a", False, None), ("null", "", None, None), ("5", "", None, None), ('"x"', "", None, None), ("[true]", "/0", None, "true")]
+
+
+def scalar_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are scalars: as booleans, and by pointers."""
+    d = _cases(spark, [r[:2] for r in _SCALARS], "doc string, ptr string")
+    return d.select("id", J.json_bool("doc").alias("flag"), J.json_pointer("doc", F.col("ptr")).alias("value"))
+
+
+#: Patterns with a text: whether it matches in full, whether in part, and what is wrong with the pattern.
+_PATTERNS = [
+    ("a|bc", "bc", True, True, None),
+    ("(ab){2}c?", "abab", True, True, None),
+    (r"\\.x\\n", ".x\n", True, True, None),
+    ("[^0-9a]+", "xyz", True, True, None),
+    ("[^0-9]", "12x4", False, True, None),
+    ("(a|(b|c)d)*", "acdbda", True, True, None),
+    (r"\\^$", "^$", True, True, None), (r"\\$", "$", False, False, None),
+    (r"\\P{L}+", "123", True, True, None),
+]
+_BAD_PATTERNS = ["(a", "a)", "[a", "a{3,2}", "*a", r"\d", "a{1000}"]
+
+
+def regex_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unions, groups, escapes and negated classes."""
+    d = _cases(spark, [r[:2] for r in _PATTERNS], "p string, s string")
+    doc = J.json_from(F.struct("s"))
+    path = lambda f: F.concat(F.lit(f"$[?{f}(@, '"), F.col("p"), F.lit("')]"))
+    found = lambda f: F.size(J.json_select_values(doc, path(f))) > 0
+    return d.select("id", found("match").alias("whole"), found("search").alias("part"))
+
+
+def regex_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _cases(spark, [(p,) for p in _BAD_PATTERNS], "p string")
+    return d.select("id", J.json_regex_error("p").isNotNull().alias("bad"))
+
+
+#: Paths and whether they are well formed: blanks, the whole query, the types of functions' arguments and results.
+_PATHS = [
+    ("$", True), ("$.a", True), ("$ .a [ 'b' , 0 ]", True), ("$[?@.a == 1 && ( @.b )]", True), (" $.a", False), ("$.a ", True), ("$ ", False), ("$. a", False), ("a", False),
+    ("$[?length(@.a) > 1]", True), ("$[?length(@.*) > 1]", False), ("$[?count(@.*) == 2]", True), ("$[?count(1) == 2]", False), ("$[?length(@.a)]", True), ("$[?match(@.a, 'x') == true]", True),
+    ("$[?match(@.a, 'x')]", True), ("$[?value(@..a) == 1]", True), ("$[?@.* == 1]", True), ("$[?nothing(@)]", False), ("$[?length(@.a, 1) > 1]", False), ("$[9007199254740992]", False), ("$[01]", False), ("$[1:2:0]", True),
+]
+
+
+def path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _cases(spark, [(p,) for p, _ in _PATHS], "p string")
+    return d.select("id", J.json_path_error("p").isNull().alias("good"))
+
+
+_PATCH_TEXTS = [
+    ('[{"op":"add","path":"/b","value":1,"note":"x"}]', True), ('[{"op":"add","path":"/b"}]', False), ('[{"op":"nothing","path":"/b"}]', False), ('[{"path":"/b","value":1}]', False), ('{"op":"remove","path":"/a"}', False), ('[{"op":"move","path":"/b"}]', False), ("[]", True), ('[{"op":"remove","path":"a"}]', False),
+]
+
+
+def patch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches with unknown members, and such as can't be read."""
+    rows, d = [], None
+    for i, (text, _) in enumerate(_PATCH_TEXTS):
+        try:
+            one = spark.range(1).select(F.lit(i).alias("id"), J.json_modify(F.lit('{"a":0}'), text)["error"].isNull().alias("good"))
+            d = one if d is None else d.unionByName(one)
+        except J.JsonError:  # patches that are literals are read on the driver
+            rows.append((i, False))
+    bad = spark.createDataFrame(rows, "id int, good boolean")
+    return bad if d is None else d.unionByName(bad)
+
+
+query(_values([r[1:] for r in _STRINGS], "value", "kind"))(string_escapes)
+query(_values([r[1:] for r in _POINTERS], "value", "kind"))(pointer_tokens)
+query(_values([r[2:] for r in _SCALARS], "flag", "value"))(scalar_roots)
+query(_values([r[2:4] for r in _PATTERNS], "whole", "part"))(regex_forms)
+query(_values([(True,) for _ in _BAD_PATTERNS], "bad"))(regex_errors)
+query(_values([r[1:] for r in _PATHS], "good"))(path_checks)
+query(_values([r[1:] for r in _PATCH_TEXTS], "good"))(patch_texts)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
+def filter_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which no node is found: an anti-join of a filter with a negation."""
+    d = orders(spark, sf_dir).select("o_orderkey", J.json_select_values("doc", "$.items[?@.q > 40]").alias("v"))
+    all_keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    return all_keys.join(d.where("size(v) > 0").select("o_orderkey"), "o_orderkey", "left_anti")
+
+
+@query(f"SELECT c_custkey, o_orderkey {_JOIN} WHERE NOT (o_totalprice > 200000)")
+def filter_negated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A negated filter over the node table, as an anti-join."""
+    found = _nodes(spark, sf_dir).select("$.orders[?!(@.o_totalprice > 200000) && !@.nothing].o_orderkey")
+    return found.select("c_custkey", F.col("number").cast("bigint").alias("o_orderkey"))
+
+
+@query(f"SELECT c_custkey, o_orderkey {_JOIN} WHERE o_totalprice < c_acctbal * 1 OR o_orderkey = c_custkey")
+def filter_two_queries_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node compared with another one of the document, over the node table."""
+    found = _nodes(spark, sf_dir).select("$.orders[?@.o_totalprice < $.c_acctbal || @.o_orderkey == $.c_custkey].o_orderkey")
+    return found.select("c_custkey", F.col("number").cast("bigint").alias("o_orderkey"))
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skarn-")
-        spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/skarn-{name}-{uuid.uuid4().hex}"
 
 

@@ -50,8 +50,16 @@ def _never(s: str) -> None:
     raise _Doubt
 
 
+#: Digits up to which Python makes an int from text; more are kept as a Decimal, which is as exact and takes linear time.
+_INT_DIGITS = 4000
+
+
+def _whole(s: str) -> int | Decimal:
+    return int(s) if len(s) <= _INT_DIGITS else Decimal(s)
+
+
 _scan = json.JSONDecoder(object_pairs_hook=_pairs, parse_int=_int, parse_float=_float, parse_constant=_never).decode
-_exact = json.JSONDecoder(object_pairs_hook=_pairs, parse_int=int, parse_float=Decimal, parse_constant=_never).decode
+_exact = json.JSONDecoder(object_pairs_hook=_pairs, parse_int=_whole, parse_float=Decimal, parse_constant=_never).decode
 
 
 def parse(text: str | bytes, exact: bool = False) -> object:
@@ -228,7 +236,7 @@ class _Strict:
         digits = text.lstrip("-")
         if not self.exact and (len(digits) > 16 or int(digits) > INT_MAX):
             raise self.fail("OutOfRange", start, -INT_MAX if text[0] == "-" else INT_MAX)
-        return int(text)
+        return _whole(text)
 
     def not_a_number(self, start: int, end: int) -> ParseError:
         """What is wrong with digits that are no number; end is where they stop to be one."""

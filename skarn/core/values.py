@@ -99,10 +99,13 @@ def canonical(v: object, strict: bool = False) -> str:
     if kind(v) == "number":
         if v == 0:
             text = "0"
+        elif isinstance(v, Decimal):  # normalize() would round it
+            text = format(v, "f")
+            text = text.rstrip("0").rstrip(".") if "." in text else text
         elif v == v.__floor__():
             text = str(int(v))
         else:
-            text = format(v.normalize() if isinstance(v, Decimal) else Decimal(repr(v)).normalize(), "f")
+            text = format(Decimal(repr(v)).normalize(), "f")
         return text + (".0" if strict and not isinstance(v, int) and "." not in text else "")
     return _scalar(v)
 

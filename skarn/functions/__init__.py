@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from skarn.core import evaluate, patch, pointer, values
 from skarn.core.errors import JsonError
+from skarn.core.iregexp import Pattern
 from skarn.core.jsonpath import compile_path
 from skarn.core.parse import parse
 
@@ -294,6 +295,36 @@ def json_select_values(doc: Column | str, path: str | Column, semantics: str = e
     return _pathwise("array<string>", lambda v, q: list(map(values.compact, evaluate.select_values(v, q, semantics))), doc, path)
 
 
+def json_select_types(doc: Column | str, path: str | Column, semantics: str = evaluate.STANDARD) -> Column:
+    """The kinds of the nodes, as json_type would name them, without printing and parsing their values."""
+    return _pathwise("array<string>", lambda v, q: list(map(values.kind, evaluate.select_values(v, q, semantics))), doc, path)
+
+
+def _error_of(f: Callable) -> Callable:
+    def run(text: str) -> dict | None:
+        try:
+            f(text)
+        except JsonError as e:
+            return _error(e)
+        return None
+
+    return run
+
+
+_ERROR = "struct<kind:string,detail:string,pos:int>"
+_ARROW[_ERROR] = _ERROR_ARROW
+
+
+def json_path_error(path: Column | str) -> Column:
+    """struct(kind, detail, pos) of what is wrong with a JSONPath, types included; null for a good one."""
+    return _apply(_ERROR, _error_of(compile_path), path)
+
+
+def json_regex_error(pattern: Column | str) -> Column:
+    """struct(kind, detail, pos) of what is wrong with an I-Regexp; null for a good one."""
+    return _apply(_ERROR, _error_of(Pattern), pattern)
+
+
 def json_select_many(doc: Column | str, paths: dict[str, str], semantics: str = evaluate.STANDARD) -> Column:
     """A struct with the values of several paths; the document is parsed once."""
     queries = {name: compile_path(p) for name, p in paths.items()}

@@ -134,6 +134,8 @@ class NodeTable:
                 return out
             if isinstance(e, Not):
                 return ~condition(e.part)
+            if isinstance(e, Compare) and all(isinstance(x, Query) and x.singular for x in (e.left, e.right)):
+                return two(e)
             op, query, literal = _simple(e)
             if query.absolute:
                 start = self.nodes.where("node = 0")
@@ -153,6 +155,20 @@ class NodeTable:
             held = F.coalesce(F.col(f"__{n}"), F.lit(False))
             return ~held if op == "!=" else held
 
+        def two(e: Compare) -> Column:
+            """A comparison of two singular queries: the node of each, or null, is joined to the rows."""
+            nonlocal rows, n
+            sides = []
+            for query in (e.left, e.right):
+                n += 1
+                start = self.nodes.where("node = 0") if query.absolute else rows.select(*self.nodes.columns).distinct()
+                names = {c: f"__{n}_{c}" for c in ("kind", "number", "text", "flag")}
+                found = self._relative(query, start).select(F.col(f"from_{self.key}").alias(f"h_{self.key}"), F.col("from_node").alias("h_node"), *(F.col(c).alias(x) for c, x in names.items()))
+                on = rows[self.key] == found[f"h_{self.key}"]
+                rows = rows.join(found, on if query.absolute else on & (rows["node"] == found["h_node"]), "left").drop(f"h_{self.key}", "h_node")
+                sides.append({c: F.col(x) for c, x in names.items()})
+            return _both(e.op, *sides)
+
         test = condition(e)
         return rows.where(test).select(*columns)
 
@@ -202,6 +218,25 @@ def _simple(e: Expr) -> tuple[str, Query, object]:
     raise NotRelational("a comparison of two things that vary")
 
 
+def _both(op: str, a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two nodes, each by kind and value, compare; a missing one has no kind and equals only another one."""
+    here = a["kind"].isNotNull() & b["kind"].isNotNull()
+    deep = here & (a["kind"] == b["kind"]) & a["kind"].isin("object", "array")
+    error = F.raise_error(F.lit("a comparison of objects or arrays needs the exact evaluator")).cast("boolean")
+    same = here & (a["kind"] == b["kind"])
+    equal = ~F.coalesce(here, F.lit(False)) & a["kind"].isNull() & b["kind"].isNull()
+    for kind, c in (("number", "number"), ("string", "text"), ("boolean", "flag")):
+        equal = equal | F.coalesce(same & (a["kind"] == kind) & (a[c] == b[c]), F.lit(False))
+    equal = equal | F.coalesce(same & (a["kind"] == "null"), F.lit(False))
+    if op in ("<=", "<", ">", ">="):
+        less = F.lit(False)
+        for kind, c in (("number", "number"), ("string", "text")):
+            one, other = (a[c], b[c]) if op in ("<", "<=") else (b[c], a[c])
+            less = less | F.coalesce(same & (a["kind"] == kind) & (one < other), F.lit(False))
+        return less | equal if op in ("<=", ">=") else less
+    return F.when(F.coalesce(deep, F.lit(False)), error).otherwise(equal if op == "==" else ~equal)
+
+
 def _matches(op: str, literal: object) -> Column:
     """Whether a node compares with a literal; for != whether it is equal, as missing nodes are unequal, too."""
     if literal is None:

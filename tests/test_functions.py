@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skarn import functions as J
 from skarn import operators, sources, streaming
+from skarn.core import values
 from skarn.core.errors import ParseError, PatchError, PathError, PointerError
 from skarn.core.evaluate import select, select_values
 from skarn.core.jsonpath import compile_path
@@ -238,3 +239,38 @@ def test_streaming(spark, tmp_path):
 
 def test_errors_are_equal_by_value():
     assert ParseError("A", 1) == ParseError("A", 1) and ParseError("A", 1) != PathError("A", 1) and "at index 1" in str(ParseError("A", 1))
+
+
+def test_integers_of_many_digits(spark):
+    """Exact numbers have no bound on their digits."""
+    whole = "1" + "0" * 5000
+    docs = [f"[{whole}]", f"[{whole}.50]", "[-" + "9" * 4301 + "]", "[123456789012345678901234567890123456789.5]", f"[{whole}"]
+    rows = spark.createDataFrame([(d,) for d in docs], "d string").select(J.try_json_parse("d", exact=True).alias("r")).collect()
+    assert [r.r.value for r in rows] == [*docs[:4], None] and rows[4].r.error.kind == "UnexpectedEof"
+    assert values.canonical(parse(docs[3], True)) == docs[3] and values.canonical(parse(docs[1], True)) == docs[1].replace(".50", ".5")
+    assert not values.equals(parse(docs[0], True), parse(f"[{whole[:-1]}1]", True))
+
+
+def test_errors_as_columns(spark):
+    rows = spark.createDataFrame([("$.a",), ("$[",), (None,)], "p string").select(J.json_path_error("p").alias("e"), J.json_regex_error("p").alias("r")).collect()
+    assert rows[0].e is None and rows[1].e.kind and rows[1].e.pos is not None and rows[2].e is None and rows[1].r.kind
+
+
+def test_node_table_compares_queries(spark):
+    """A comparison of two singular queries over the node table gives what the exact evaluator gives."""
+    docs = ['{"t":3,"l":[{"x":3,"y":3},{"x":2,"y":"2"},{"x":null,"y":null},{"y":1},{},{"x":true,"y":true},{"x":"a","y":"b"},{"x":5,"y":4}]}', '{"l":[{"x":1},{}]}', '{"t":"b","l":[{"x":"a"},{"x":[1],"y":2}]}']
+    rows = spark.createDataFrame(list(enumerate(docs)), "id long, d string")
+    nodes = NodeTable(shred(rows, "d", "id"), "id")
+    for op in ("==", "!=", "<", "<=", ">", ">="):
+        for other in ("@.y", "$.t"):
+            path = f"$.l[?@.x {op} {other}]"
+            wanted = sorted((r.id, p) for r in rows.select("id", J.json_select_paths("d", path).alias("p")).collect() for p in r.p)
+            assert sorted((r.id, r.npath) for r in nodes.select(path).collect()) == wanted, path
+    both = spark.createDataFrame([(1, '[{"x":[1],"y":[1]}]')], "id long, d string")
+    with pytest.raises(Exception, match="exact evaluator"):
+        NodeTable(shred(both, "d", "id"), "id").select("$[?@.x == @.y]").collect()
+
+
+def test_types_of_nodes(spark):
+    d = spark.createDataFrame([('{"a":[1,"x",null,true,{}]}',)], "d string")
+    assert d.select(J.json_select_types("d", "$..*").alias("t")).first().t == ["array", "number", "string", "null", "boolean", "object"]

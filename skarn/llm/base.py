@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +113,10 @@ HEAVY = 0.001
 
 
 def looked_up(df: DataFrame, by: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """df joined to by, a written table with one row a key and the number of rows that df has for it.  The few heavy keys
-    are broadcast, so that no task gets all rows of one; the others are shuffled."""
+    """df joined to by, a written table with one row a key and the number of rows that df has for it; total: all of df's.  If
+    those are few, by is broadcast, else its few heavy keys, so that no task gets all rows of one, and the rest shuffled."""
+    if total <= BROADCAST_ROWS:  # so by has no more rows
+        return df.join(F.broadcast(by.drop(count)), key, how)
     heavy = by.where(F.col(count) > HEAVY * total).drop(count)
     light = df.join(F.broadcast(heavy.select(key)), key, "left_anti").join(by.where(F.col(count) <= HEAVY * total).drop(count), key, how)
     return df.join(F.broadcast(heavy), key).unionByName(light)
@@ -140,6 +144,18 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """What run makes of df's batches, in tasks that give freed memory back to the system before the next one."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return batched(df).mapInArrow(task, schema)
+
+
 class Files:
     """Files under one URI, for Python tasks: the local file system directly, others through pyarrow.fs."""
 

@@ -504,7 +504,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, part_chars:
         if rows:
             yield batch()
 
-    return base.batched(dealt.select("conv_id", "role", "text")).mapInArrow(run, schema)
+    return base.mapped(dealt.select("conv_id", "role", "text"), run, schema)
 
 
 _MARK = re.compile(r"<\|im_start\|>|<\|im_end\|>")
@@ -576,7 +576,7 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
     whole = (F.col("part") == 0) & F.col("last")
     several = formatted.where(~whole).repartition(base.shuffle_partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part")
     each = (x.select("conv_id", "formatted", "spans") for x in (formatted.where(whole), several))
-    one_part, more = (base.batched(x).mapInArrow(run, schema) for x in each)
+    one_part, more = (base.mapped(x, run, schema) for x in each)
     return one_part.unionByName(more)
 
 

@@ -30,7 +30,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, extra:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(lengths(b.column(0)) + extra, pa.int64())], ["n_tokens"])
 
-    return base.batched(docs.select(base.text_of(docs).alias("text"))).mapInArrow(run, "n_tokens long")
+    return base.mapped(docs.select(base.text_of(docs).alias("text")), run, "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE, words: i
             found = [fingerprint(t.as_py(), k, words) for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), _column(np.array(found, np.uint64).reshape(-1, words))], [*keep, "fp"])
 
-    return base.batched(mine).mapInArrow(run, schema)
+    return base.mapped(mine, run, schema)
 
 
 def _column(fps: np.ndarray) -> pa.Array:
@@ -360,7 +360,7 @@ def links(fps: DataFrame, parts: list[tuple[int, int, int]], d: int = DISTANCE,
     free = {i: [(w, b) for w in range(words) for b in range(BITS) if w != own or not mask >> b & 1] for i, (own, mask, _) in enumerate(parts)}
     while True:
         dealt = todo.repartition(base.shuffle_partitions(spark), "part", "key").sortWithinPartitions("part", "key", "fp")
-        here = base.written(base.batched(dealt).mapInArrow(_scan(words, d, bucket_rows), _LINK), "links")
+        here = base.written(base.mapped(dealt, _scan(words, d, bucket_rows), _LINK), "links")
         these = here.where("part = -1").select("a", "b")
         found = these if found is None else found.unionByName(these)
         hot = here.where("part >= 0")

@@ -323,7 +323,7 @@ def pages(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
             if rows:
                 yield batch()
 
-    return base.batched(mine).mapInArrow(run, schema)
+    return base.mapped(mine, run, schema)
 
 
 def text_payload(text: str, multiple: int = 64) -> bytes:
@@ -395,7 +395,7 @@ def text_images(docs: DataFrame, text: str = "text", compression: int | None = N
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(media)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
                     at, held, sizes, media = i + 1, 0, [], []
 
-    return base.batched(docs.select("doc_id", base.text_of(docs, text).alias("text"))).mapInArrow(run, schema)
+    return base.mapped(docs.select("doc_id", base.text_of(docs, text).alias("text")), run, schema)
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -438,4 +438,4 @@ def digests(media: DataFrame) -> DataFrame:
             yield row()
 
     names = ("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "data", "error")
-    return base.batched(read.select(*names)).mapInArrow(run, schema)
+    return base.mapped(read.select(*names), run, schema)

@@ -62,7 +62,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = tokens.VOCABULA
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "number", "name", "documents", "ids", "bytes"])
 
-    manifest = base.written(base.batched(dealt.select("doc_id", "text", "__part")).mapInArrow(run, _MANIFEST), "manifest")
+    manifest = base.written(base.mapped(dealt.select("doc_id", "text", "__part"), run, _MANIFEST), "manifest")
     base.remove(spark, folder, ".*.tmp")
     return manifest
 
@@ -90,7 +90,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return base.batched(at).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return base.mapped(at, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, end: int = tokens.END) -> DataFrame:

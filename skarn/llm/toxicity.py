@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()) for t in b.column(2)], pa.list_(pa.int32()))], ["doc_id", "label", "at"])
 
-    seen = base.batched(rows.select("doc_id", "label", "text")).mapInArrow(found, "doc_id long, label int, at array<int>")
+    seen = base.mapped(rows.select("doc_id", "label", "text"), found, "doc_id long, label int, at array<int>")
     seen = seen.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     seen = seen.withColumn("turn", F.xxhash64("epoch", "doc_id")).repartition(1).sortWithinPartitions("epoch", "turn", "doc_id")
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         for i in range(0, len(where), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(where[i : i + (1 << 16)]), pa.array(w[i : i + (1 << 16)])], ["at", "w"])
 
-    model = base.batched(seen.select("at", "label")).mapInArrow(learn, T.StructType([T.StructField("at", T.LongType()), T.StructField("w", T.DoubleType())])).collect()
+    model = base.mapped(seen.select("at", "label"), learn, T.StructType([T.StructField("at", T.LongType()), T.StructField("w", T.DoubleType())])).collect()
     return np.array([r[0] for r in model], np.int64), np.array([r[1] for r in model])
 
 
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
             s = np.array([one(t.as_py()) for t in b.column(len(names))], float)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, *found])
 
-    return base.batched(mine).mapInArrow(run, schema)
+    return base.mapped(mine, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -176,7 +176,7 @@ def _write(pages: DataFrame, folder: str, least_bytes: int, roll_bytes: int, dat
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "number", "name", "records", "bytes"])
 
     dealt = dealt.select("page_id", "url", "html", "sha", "first", "first_url", "__part")
-    manifest = base.written(base.batched(dealt).mapInArrow(run, _MANIFEST), "manifest", outlives=True)
+    manifest = base.written(base.mapped(dealt, run, _MANIFEST), "manifest", outlives=True)
     base.remove(spark, folder, ".*.tmp")
     return manifest
 
@@ -216,7 +216,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return base.batched(named).mapInArrow(run, schema)
+    return base.mapped(named, run, schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

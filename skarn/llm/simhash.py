@@ -379,17 +379,49 @@ def links(fps: DataFrame, parts: list[tuple[int, int, int]], d: int = DISTANCE,
         free = finer
 
 
+#: Links that one task joins at most, by count; more are contracted by all tasks until so few are left.
+FEW_LINKS = 100_000
+
+
+def _joined(kind: pa.DataType):
+    """Reads few links (a, b); gives (node, root) of their nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, nodes, forest = {}, [], _Forest()
+        for b in batches:
+            for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ends = []
+                for x in pair:
+                    key = tuple(x) if isinstance(x, list) else x
+                    if key not in number:
+                        number[key] = len(nodes)
+                        nodes.append(x)
+                    ends.append(number[key])
+                forest.link(*ends)
+        for i in range(0, len(nodes), 20_000):
+            some = range(i, min(i + 20_000, len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[j] for j in some], kind), pa.array([nodes[forest.find(j)] for j in some], kind)], ["node", "root"])
+
+    return run
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links; written.  Contraction rounds: each node moves to that of its neighbourhood
-    with the smallest hash, links follow, until none is left; hashed order makes the rounds few.  Hubs are looked up by
-    broadcast, so that no task gets all links of one."""
+    with the smallest hash, links follow, until they are few enough for one task; hashed order makes the rounds few.  Hubs
+    are looked up by broadcast, so that no task gets all links of one."""
     with base.scope(edges.sparkSession):
         edges = base.written(edges.where("a <> b").distinct(), "edges")
         where: DataFrame | None = None
+        kind = edges.schema["a"].dataType
         while n := edges.count():
-            both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = F.least(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("x"))), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("x")))
-            step = base.written(both.groupBy("a").agg(least.alias("s"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.col("s.x").alias("root"), "n"), "step")
+            if few := n <= FEW_LINKS:
+                schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
+                arrow = pa.list_(pa.int64()) if isinstance(kind, T.ArrayType) else pa.int64()
+                step = base.written(base.mapped(edges.select("a", "b").repartition(1), _joined(arrow), schema), "step")
+            else:
+                both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                least = F.least(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("x"))), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("x")))
+                step = base.written(both.groupBy("a").agg(least.alias("s"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.col("s.x").alias("root"), "n"), "step")
             if where is None:
                 where = step.select("node", "root")
             else:
@@ -397,11 +429,13 @@ def roots(edges: DataFrame) -> DataFrame:
                 here = base.written(sizes.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root"), "ups")
                 where = base.looked_up(where, here, "root", "n", where.count(), "left")
                 where = base.written(where.select("node", F.coalesce("up", "root").alias("root")), "roots")
+            if few:
+                break
             for side in ("a", "b"):
                 here = step.select(F.col("node").alias(side), F.col("root").alias("to"), "n")
                 edges = base.looked_up(edges, here, side, "n", 2 * n).drop(side).withColumnRenamed("to", side)
             edges = base.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-        if where is None:
+        if where is None:  # no links at all
             where = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         return base.written(where, "roots", outlives=True)
 

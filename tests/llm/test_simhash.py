@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from skarn.llm import base as shared
 from skarn.llm import simhash
 
 ODD = ["", None, "a", "A b", "a b c d", "Straße ÄÖ Ünique x", "a\x0bb\x0cc\td\ne f", "x " * 5000, " ", "a b c d e", "a b c d e"]
@@ -218,3 +219,21 @@ def test_stage_keeps_lesser_overlaps(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     assert far > 40 and not wanted - kept
+
+
+@pytest.mark.parametrize("few", [0, 40, 100_000])
+def test_roots(spark, monkeypatch, few):
+    """Components of random links, chains and a hub, by rounds of all tasks, by one task, and by both."""
+    monkeypatch.setattr(simhash, "FEW_LINKS", few)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 10)
+    rng, forest = random.Random(4), simhash._Forest()
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2400)]
+    for a, b in pairs:
+        forest.link(a, b)
+    got = {r.node: r.root for r in simhash.roots(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got.keys() == {x for a, b in pairs if a != b for x in (a, b)}
+    groups = [{}, {}]
+    for x, root in got.items():
+        groups[0].setdefault(root, set()).add(x)
+        groups[1].setdefault(forest.find(x), set()).add(x)
+    assert sorted(map(sorted, groups[0].values())) == sorted(map(sorted, groups[1].values()))

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from skarn.llm import base as shared
-from skarn.llm import simhash
+from skarn.llm import overlap, simhash
 
 ODD = ["", None, "a", "A b", "a b c d", "Straße ÄÖ Ünique x", "a\x0bb\x0cc\td\ne f", "x " * 5000, " ", "a b c d e", "a b c d e"]
 
@@ -212,6 +212,43 @@ def test_large_buckets(spark):
     assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == wanted
 
 
+@pytest.mark.parametrize("block", [5, 40])
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_large_buckets_in_blocks(spark, monkeypatch, block, broadcast):
+    """The same when buckets are cut into blocks, with and without a broadcast of them."""
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", block)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
+    texts = family(9, 2, 90, 100, 200)
+    wanted, near, far = wanted_of(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert near > 500 and far > 500
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == wanted
+
+
+def test_blocks(spark):
+    """Each two rows of a large bucket meet once and on different sides, or in one block, but for two of its main component;
+    small buckets stay whole."""
+    rows = [(key, sid, 1, 7 if sid % 4 else sid, [0]) for key, n in ((1, 50), (2, 9), (3, 31)) for sid in range(n)]
+    rows += [(4, sid, 1, 7, [0]) for sid in range(40)]
+    known = spark.createDataFrame(rows, "key long, sid long, n int, root long, sketch array<long>")
+    large = overlap.large_buckets(known.select("key", "sid"), known, 10)
+    assert {r.key: (r["count"], r.most, r.own, r.others) for r in large.collect()} == {1: (50, 7, 4, 2), 3: (31, 7, 3, 1), 4: (40, 7, 4, 0)}
+    met, whole, places = {}, {}, {}
+    for r in overlap.dealt(known, large, len(rows)).collect():
+        places.setdefault((r.key, r.sub), []).append((r.sid, r.side, r.root))
+        whole[r.key, r.sid] = r.sub == 0 and r.cut == 1
+    for (key, _), here in places.items():
+        for x, (a, side, root) in enumerate(here):
+            for b, other, second in here[x + 1 :]:
+                if root != second and (side == 0 or side != other):
+                    pair = (key, min(a, b), max(a, b))
+                    met[pair] = met.get(pair, 0) + 1
+    roots = {(key, sid): root for key, sid, _, root, _ in rows}
+    assert set(met) == {(k, a, b) for k, n in ((1, 50), (2, 9), (3, 31)) for a in range(n) for b in range(a + 1, n) if roots[k, a] != roots[k, b]}
+    assert set(met.values()) == {1}
+    assert all(w == (key == 2) for (key, _), w in whole.items()) and not any(k == 4 for k, _ in whole)
+
+
 def test_stage_keeps_lesser_overlaps(spark):
     """No document goes for overlaps below 0.8 alone."""
     texts = family(4, 250, 2)

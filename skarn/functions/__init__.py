@@ -15,7 +15,7 @@ from collections.abc import Callable
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,9 +50,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Bytes of a batch that passes from the JVM to Python; by rows alone it would grow with the length of the documents.
+BATCH_BYTES = "2m"
+
+
+def bound_batches(spark: SparkSession | None = None) -> None:
+    """Sets the session (or the active one) to pass at most about BATCH_BYTES, or one row, at once to Python.  The setting
+    is read when a plan runs, so it stays; one that is set is kept."""
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def _apply(kind: str, f: Callable, *columns: Column | str, nulls: bool = False) -> Column:
     """f over the values of the columns, by Arrow batches; null where any of them is null, unless f takes nulls."""
     arrow = _arrow(kind)
+    bound_batches()
 
     def run(*arrays: pa.Array) -> pa.Array:
         rows = zip(*(a.to_pylist() for a in arrays))
@@ -365,6 +379,22 @@ def json_try_modify(doc: Column | str, change: str | Column, semantics: str = ev
     return _changed(doc, change, semantics, patch.try_modify)
 
 
+def json_try_modify_values(doc: Column | str, change: str | Column, path: str, semantics: str = evaluate.STANDARD) -> Column:
+    """struct(values, error): what a JSONPath selects after a JSON Patch, all or nothing.  The document is parsed once, and
+    the changed one is not printed, so this takes half the workers of a json_select_values over json_try_modify."""
+    query, strict = compile_path(path), semantics == evaluate.REFERENCE
+    kind = f"struct<values:array<string>,error:{_ERROR}>"
+
+    def f(t: str, p: object) -> dict:
+        value, error = patch.try_modify(parse(t), p, strict)
+        return {"values": list(map(values.compact, evaluate.select_values(value, query, semantics))), "error": _error(error) if error else None}
+
+    if isinstance(change, Column):
+        return _apply(kind, f, doc, change)
+    operations = patch.read(change)
+    return _apply(kind, lambda t: f(t, operations), doc)
+
+
 # ---- comparison
 
 
@@ -404,6 +434,7 @@ _SQL_FUNCTIONS: dict[str, tuple[str, Callable]] = {
 def register(spark) -> None:
     """The functions for SQL: one-document ones, json_pointer(doc, ptr), json_select_values(doc, path) and its kin,
     json_modify(doc, patch), and the table function json_each(doc, path) for LATERAL."""
+    bound_batches(spark)
 
     def unary(kind: str, f: Callable) -> Callable:
         arrow = _arrow(kind)

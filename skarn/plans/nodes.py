@@ -21,6 +21,7 @@ from skarn.core.errors import JsonError
 from skarn.core.evaluate import npath
 from skarn.core.jsonpath import And, Compare, Expr, Filter, Function, Index, Literal, Name, Not, Or, Query, Selector, Slice, Wildcard, compile_path
 from skarn.core.parse import parse
+from skarn.functions import bound_batches
 
 _FIELDS = "node int, last int, parent int, depth int, key string, idx int, kind string, number double, text string, flag boolean, n_children int, npath string"
 _ROWS = 20_000
@@ -68,6 +69,7 @@ def shred(df: DataFrame, doc: str, key: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], schema.names)
                     at, rows = [], []
 
+    bound_batches(df.sparkSession)
     return df.select(key, doc).mapInArrow(run, schema)
 
 

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skarn import catalog, operators, sources, streaming
 from skarn import functions as J
-from skarn import operators, sources, streaming
 from skarn.core import values
 from skarn.core.errors import ParseError, PatchError, PathError, PointerError
 from skarn.core.evaluate import select, select_values
@@ -274,3 +274,67 @@ def test_node_table_compares_queries(spark):
 def test_types_of_nodes(spark):
     d = spark.createDataFrame([('{"a":[1,"x",null,true,{}]}',)], "d string")
     assert d.select(J.json_select_types("d", "$..*").alias("t")).first().t == ["array", "number", "string", "null", "boolean", "object"]
+
+
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def largest_batch(df):
+    """Rows of the largest batch that a Python function gets of df's documents."""
+    import pyarrow as pa
+
+    def rows(a: pa.Array) -> pa.Array:
+        return pa.array([len(a)] * len(a), pa.int64())
+
+    return df.select(F.arrow_udf(rows, "bigint")("d").alias("n")).agg(F.max("n")).first()[0]
+
+
+@pytest.mark.parametrize("use", [lambda df: df.select(J.json_valid("d")), lambda df: df.select(J.json_try_modify("d", "[]")), lambda df: shred(df, "d", "id"), lambda df: J.register(df.sparkSession)])
+def test_batches_to_python_are_bounded_by_bytes(spark, use):
+    """Whatever a batch's 10,000 rows would hold; a limit that is set is kept."""
+    d = spark.range(0, 2000, 1, 1).select("id", F.concat(F.lit('["'), F.repeat(F.lit("x"), 8000), F.lit('"]')).alias("d"))
+    before = spark.conf.get(LIMIT, None)
+    try:
+        spark.conf.unset(LIMIT)
+        use(d)
+        assert largest_batch(d) * 8000 < 3_000_000
+        spark.conf.set(LIMIT, "1m")
+        use(d)
+        assert spark.conf.get(LIMIT) == "1m"
+    finally:
+        spark.conf.set(LIMIT, before) if before else spark.conf.unset(LIMIT)
+
+
+def test_tables_bound_batches_of_their_own_session(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "t.parquet"))
+    other = spark.newSession()
+    other.conf.unset(LIMIT)
+    catalog.table(other, str(tmp_path), "t")
+    assert other.conf.get(LIMIT, None)
+
+
+def test_values_after_a_patch(docs, spark):
+    """As a path over the changed document, without printing it and parsing it again."""
+    good = docs.where("id < 6 or id = 8")
+    for patch in ('[{"op": "add", "path": "/b", "value": [7, null]}, {"op": "remove", "path": "/a"}]', "[]", '[{"op": "copy", "from": "/a", "path": "/b/-"}]'):
+        for path in ("$.b[-1]", "$.*", "$..a"):
+            for p in (patch, F.lit(patch)):
+                got = column(good, J.json_try_modify_values("doc", p, path))
+                twice = good.withColumn("c", J.json_try_modify("doc", p)).select("id", J.json_select_values("c.doc", path).alias("v"), "c.error").orderBy("id").collect()
+                assert [g and (g["values"], g.error) for g in got] == [(r.v, r.error) if r.v is not None else None for r in twice], (patch, path)
+    whole = spark.createDataFrame([('{"a":1e300,"b":[]}',)], "doc string")
+    got = whole.select(J.json_try_modify_values("doc", '[{"op": "copy", "from": "/a", "path": "/b/-"}]', "$.b[*]").alias("r")).first().r
+    assert got == (["1" + "0" * 300], None)
+    for wrong in (("[", "$"), ("[]", "$[")):
+        with pytest.raises((PatchError, PathError)):
+            J.json_try_modify_values("doc", *wrong)
+
+
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n.startswith("patch_") and n in catalog._PATCHES])
+def test_patch_queries_pass_documents_to_python_once(spark, tmp_path, name):
+    spark.createDataFrame([(i, f"c{i}", i / 4) for i in range(4)], "c_custkey long, c_name string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(10 + i, i % 3, "F", 1e20 * i, None) for i in range(7)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog.queries()[name](spark, str(tmp_path))
+    wanted = catalog._PATCHES[name][2]
+    assert sorted(map(tuple, got.collect())) == [(i, i if wanted == "c_custkey" else wanted and int(wanted), True) for i in range(4)]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ArrowEvalPython") == 1
